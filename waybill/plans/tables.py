@@ -276,7 +276,7 @@ DERIVED: dict[str, str] = {
         FROM {documents}""",
 }
 
-_NAMES = re.compile(r"\{(\w+)\}")
+_NAMES = re.compile(r"\{([a-z]\w*)\}")
 
 
 def _dialect(sql: str, side: int) -> str:
