@@ -62,8 +62,9 @@ def recovery_point_asof(requests: DataFrame, points: DataFrame, key: str, ts: st
     stream = points.select(key, ts, ident, F.lit(0).alias("__kind"), F.struct(ts, ident).alias("__point")).unionByName(
         requests.select(key, ts, ident, F.lit(1).alias("__kind"), F.lit(None).cast(points.select(F.struct(ts, ident)).schema[0].dataType).alias("__point"))
     )
-    # the numeric order column puts points first at equal times and then follows the id
-    ordered = stream.withColumn("__at", F.col("__kind").cast("decimal(38,0)") * F.lit(10**20).cast("decimal(38,0)") + F.col(ident).cast("decimal(38,0)"))
+    # one number that puts points before requests at equal times and then follows the id, so that
+    # many rows at one time can still be cut into slices
+    ordered = stream.withColumn("__at", F.expr(f"CAST(__kind AS DECIMAL(1,0)) * 100000000000000000000BD + CAST({ident} AS DECIMAL(20,0))"))
     filled = ordered_by_key(ordered, [key], [ts, "__at"], last_known={"__found": "__point"})
     return filled.where("__kind = 1").select(
         F.col(ident).alias("request_id"), key, F.col(ts).alias("request_ts"),
@@ -78,6 +79,7 @@ def chain_depths(records: DataFrame, ident: str, parent: str) -> DataFrame:
     round, so a chain of n records takes log2(n) rounds whatever its shape; records whose walk
     has ended leave the join. Each round is checkpointed in the shared folder.
     """
+    records = checkpointed(records.select(ident, parent))
     known = records.select(F.col(ident).alias("__p")).withColumn("__exists", F.lit(True))
     nodes = skew_join(records.select(F.col(ident).alias("id"), F.col(parent).alias("__p")), known, "__p", "left")
     gap = F.col("__p").isNotNull() & F.col("__exists").isNull()

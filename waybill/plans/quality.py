@@ -12,7 +12,7 @@ from waybill.sources import profile
 STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 # columns of the star tables as the checking SQL sees them: name -> Spark type
 COLUMNS = {
-    "region": "r_regionkey bigint, r_name string",
+    "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
