@@ -31,10 +31,11 @@ def cooldown_fires(alerts: DataFrame, rule: str, ts: str, ident: str, seconds: i
     )
     tied = stream.withColumn("__tie", F.expr(f"CAST(__alert AS DECIMAL(1,0)) * 100000000000000000000BD + CAST({ident} AS DECIMAL(20,0))"))
     counted = checkpointed(ordered_by_key(tied, [rule], ["__at", "__tie"], running={"__n": "__alert"}).select(rule, ident, "__alert", "__n"))
-    numbered = counted.where("__alert = 1").select(F.struct(F.col(rule).alias("r"), F.col("__n").alias("n")).alias("__spot"), F.col(ident).alias("next_id"))
-    steps = counted.where("__alert = 0").select(F.struct(F.col(rule).alias("r"), (F.col("__n") + 1).alias("n")).alias("__spot"), F.col(ident).alias("id"))
+    node = F.struct(F.col(rule).alias("r"), F.col(ident).alias("i"))  # one event may raise alerts of several rules
+    numbered = counted.where("__alert = 1").select(F.struct(F.col(rule).alias("r"), F.col("__n").alias("n")).alias("__spot"), node.alias("next_id"))
+    steps = counted.where("__alert = 0").select(F.struct(F.col(rule).alias("r"), (F.col("__n") + 1).alias("n")).alias("__spot"), node.alias("id"))
     jumps = checkpointed(skew_join(steps, numbered, "__spot").select("id", F.col("next_id").alias("jump")))
-    fired = checkpointed(counted.where("__alert = 1 AND __n = 1").select(F.col(ident).alias("id")))
+    fired = checkpointed(counted.where("__alert = 1 AND __n = 1").select(node.alias("id")))
     known = fired.count()
     while True:
         reached = fired.join(jumps, "id").select(F.col("jump").alias("id"))
@@ -45,7 +46,7 @@ def cooldown_fires(alerts: DataFrame, rule: str, ts: str, ident: str, seconds: i
         known = now
         ahead = jumps.select(F.col("id").alias("jump"), F.col("jump").alias("j2"))
         jumps = checkpointed(skew_join(jumps, ahead, "jump").select("id", F.col("j2").alias("jump")))
-    return once.join(fired.select(F.col("id").alias(ident)), ident, "left_semi").select(rule, ts, ident)
+    return once.join(fired.select("id.*").toDF(rule, ident), [rule, ident], "left_semi").select(rule, ts, ident)
 
 
 def cooldown_fires_after(alerts: DataFrame, last_fires: DataFrame, rule: str, ts: str, ident: str, seconds: int) -> DataFrame:
