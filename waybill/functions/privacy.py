@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,26 @@ def keyword_pattern(word: str, strict: bool = True) -> str:
     return rf"(?i){edge}{re.escape(word).replace(chr(92) + ' ', ' ')}{edge}[\s:]*[\S]+"
 
 
+def _holds_any(low: Column, texts: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(t) for t in texts])
+
+
+# a cheap test on the lower-case text that holds wherever the pattern matches
+_MAY_MATCH: dict[str, Callable[[Column], Column]] = {
+    PATTERNS["email"]: lambda low: low.contains("@"),
+    PATTERNS["ipv4"]: lambda low: low.rlike(r"[0-9]\.[0-9]"),
+    PATTERNS["home_path"]: lambda low: _holds_any(low, ["/users/", "/home/", "c:\\users\\"]),
+    PATTERNS["token"]: lambda low: _holds_any(low, ["token", "key", "secret", "password", "pwd"]),
+}
+
+
+def pattern_count(c: Column, pattern: str) -> Column:
+    """Matches of a pattern; the pattern only runs on texts that may hold one."""
+    may = _MAY_MATCH.get(pattern)
+    found = F.regexp_count(c, F.lit(pattern))
+    return F.when(may(F.lower(c)), found).when(c.isNotNull(), 0) if may else found
+
+
 def redact(
     c: Column,
     extra: Sequence[str] = (),
@@ -49,16 +70,27 @@ def redact(
 ) -> Column:
     """Replace every match by ``[REDACTED]``; ``extra`` and ``without`` add and drop patterns.
 
-    The keyword replacements run in sequence, behind one test whether any keyword occurs at all.
+    Replacements run in sequence, each only on texts that may hold a match. The text and its
+    lower-case form travel in a one-element array, so every step reads the step before by
+    reference and the expression grows by one step per pattern.
     """
     for pattern in extra:
         re.compile(pattern)
-    for pattern in [*[p for p in PATTERNS.values() if p not in without], *extra]:
-        c = F.regexp_replace(c, pattern, REDACTED)
-    replaced = c
-    for word in KEYWORDS:
-        replaced = F.regexp_replace(replaced, keyword_pattern(word, strict), REDACTED)
-    return F.when(c.rlike(f"(?i)({'|'.join(KEYWORDS)})"), replaced).otherwise(c)
+    steps = [(p, _MAY_MATCH.get(p)) for p in [*[p for p in PATTERNS.values() if p not in without], *extra]]
+    steps += [(keyword_pattern(w, strict), lambda low, w=w: low.contains(w)) for w in KEYWORDS]
+    state = F.array(F.struct(c.alias("t"), F.lower(c).alias("low")))
+    for pattern, may in steps:
+        state = F.transform(state, _replacing(pattern, may))
+    return state[0]["t"]
+
+
+def _replacing(pattern: str, may: Callable[[Column], Column] | None) -> Callable[[Column], Column]:
+    def step(s: Column) -> Column:
+        replaced = F.regexp_replace(s["t"], pattern, REDACTED)
+        text = F.when(may(s["low"]), replaced).otherwise(s["t"]) if may else replaced
+        return F.struct(text.alias("t"), s["low"].alias("low"))
+
+    return step
 
 
 def is_sensitive(key: Column, words: Sequence[str] = tuple(SENSITIVE_KEYS)) -> Column:

@@ -317,7 +317,7 @@ def _(t):
 def _(t):
     return t.documents.groupBy("lang").agg(
         F.count("*").alias("documents"),
-        *[F.sum(F.regexp_count("text", F.lit(p))).alias(name) for name, p in privacy.PATTERNS.items()],
+        *[F.sum(privacy.pattern_count(F.col("text"), p)).alias(name) for name, p in privacy.PATTERNS.items()],
     )
 
 
