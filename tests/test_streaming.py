@@ -21,9 +21,18 @@ def rows(df, *cols):
     return sorted(tuple(str(v) for v in r) for r in df.select(*cols).collect())
 
 
+def replay(spark, df, part, parts):
+    """Write rows as one file per arrival, for a file stream that reads one file at a time."""
+    path = fresh_dir(spark, "replay")
+    marked = df.withColumn("__part", part).cache()
+    for i in range(parts):
+        marked.where(F.col("__part") == i).drop("__part").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def arrivals(spark, df, parts=3):
     days = F.datediff(F.col("ts").cast("date"), F.expr("DATE '2024-01-01'"))
-    path = jobs.replay(spark, df, fresh_dir(spark, "replay"), F.least(F.lit(parts - 1), F.floor(days * parts / 31)).cast("int"), parts)
+    path = replay(spark, df, F.least(F.lit(parts - 1), F.floor(days * parts / 31)).cast("int"), parts)
     return file_stream(spark, path, df.schema, max_files=1)
 
 
@@ -47,7 +56,7 @@ def test_late_rows_are_dropped(spark, tables):
     late = tables.events.limit(3).select(F.expr("TIMESTAMP_NTZ '2024-01-01 02:00:00'").alias("ts"), F.lit(7).alias("part"))
     every = made.unionAll(late)
     part = F.when(F.col("part") == 1, 0).when(F.col("part") == 5, 1).when(F.col("part") == 6, 2).otherwise(3)
-    path = jobs.replay(spark, every, fresh_dir(spark, "late"), part, 4)
+    path = replay(spark, every, part, 4)
     counts, dropped = jobs.hourly_counts_with_retention(file_stream(spark, path, every.schema, max_files=1), fresh_dir(spark, "late-job"))
     assert dropped == 1  # the late rows are one partial count when they reach the state
     assert counts.agg(F.sum("n")).first()[0] == 15
@@ -66,7 +75,7 @@ def test_change_feed(spark, tables):
         [("update", 1, 1, "a1"), ("delete", 2, 2, None), ("insert", 3, 4, "d"), ("update", 4, 1, "a2"), ("delete", 5, 4, "d"), ("insert", 6, 2, "b2")],
         "change string, seq int, k long, v string",
     )
-    path = jobs.replay(spark, feed, fresh_dir(spark, "feed"), F.floor((F.col("seq") - 1) / 3).cast("int"), 2)
+    path = replay(spark, feed, F.floor((F.col("seq") - 1) / 3).cast("int"), 2)
     got = jobs.apply_changes(file_stream(spark, path, feed.schema, max_files=1), base, "k", fresh_dir(spark, "cdc"))
     assert rows(got, "k", "v") == [("1", "a2"), ("2", "b2"), ("3", "c")]
 

@@ -339,13 +339,15 @@ def product_rolling_rank(items: DataFrame, as_of: Column, days: int = 30) -> Dat
 
 
 def monthly_sales_trends(orders: DataFrame) -> DataFrame:
-    day = F.col("o_orderdate")
-    monthly = orders.groupBy(F.year(day).cast("long").alias("year"), F.month(day).cast("long").alias("month")).agg(
+    month = [F.year("o_orderdate").cast("long").alias("year"), F.month("o_orderdate").cast("long").alias("month")]
+    # one distinct count per aggregate: two in one would repeat every row before the shuffle
+    sales = orders.groupBy(*month).agg(
         F.count_distinct("o_orderkey").alias("order_count"),
-        F.count_distinct("o_custkey").alias("unique_customers"),
         total(money("o_totalprice")).alias("total_revenue"),
         mean(money("o_totalprice")).alias("avg_order_value"),
     )
+    buyers = orders.groupBy(*month).agg(F.count_distinct("o_custkey").alias("unique_customers"))
+    monthly = sales.join(buyers, ["year", "month"])
     # one row per month: a single window partition holds the calendar, not the data
     before = F.lag("total_revenue").over(Window.orderBy("year", "month"))
     return monthly.withColumn("prev_month_revenue", before).withColumn(

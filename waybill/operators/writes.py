@@ -16,10 +16,15 @@ from waybill.operators.diff import row_checksum
 
 def written(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a new table at ``path`` and read it back."""
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    _balanced(df, partition_by).write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(_nullable(df)).parquet(path)
 
 
+def _balanced(rows: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of a partition value brought together; Spark splits large values and joins small ones by size."""
+    return rows.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else rows
+
+
 def _nullable(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -50,7 +55,7 @@ def upserted(target: DataFrame, source: DataFrame, key: str, latest_by: str | No
 
 def replace_partitions(rows: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace only the partitions that ``rows`` touch."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    _balanced(rows, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def sync_operations(target: DataFrame, source: DataFrame, key: str) -> DataFrame:

@@ -224,10 +224,9 @@ def _(t):
 def _(t):
     path, year = fresh_dir(t.spark, "replace"), F.year("o_orderdate").alias("order_year")
     target = t.orders_target.select("*", year)
-    # one shuffle by partition value keeps the number of files per partition low; the salt keeps a big year parallel
-    writes.written(target.repartition("order_year", F.pmod("o_orderkey", F.lit(8))), path, ["order_year"])
+    writes.written(target, path, ["order_year"])
     fresh = t.orders.where("o_orderdate >= TIMESTAMP_NTZ '1999-01-01 00:00:00'").select("*", year)
-    writes.replace_partitions(fresh.repartition("order_year", F.pmod("o_orderkey", F.lit(8))), path, ["order_year"])
+    writes.replace_partitions(fresh, path, ["order_year"])
     return t.spark.read.parquet(path)
 
 

@@ -72,7 +72,13 @@ def _(t):
     return audit.audit_chain_verify(_tampered_log(t), "log_id", ["ts", "event_id"], "payload")
 
 
-@query("running_hash_chain")
+@query("running_hash_chain", """
+    WITH RECURSIVE n AS (SELECT log_id, payload, row_number() OVER (PARTITION BY log_id ORDER BY ts, event_id) AS seq FROM {audit_payload}),
+    g AS (SELECT log_id, (seq - 1) // 1000 AS segment, sha256(string_agg(sha256(payload), '' ORDER BY seq)) AS digest FROM n GROUP BY 1, 2),
+    s AS (SELECT n.*, coalesce(digest, sha256('log ' || n.log_id)) AS anchor FROM n LEFT JOIN g ON g.log_id = n.log_id AND g.segment = (seq - 1) // 1000 - 1 WHERE (seq - 1) % 1000 = 0),
+    r AS (SELECT log_id, seq, payload, anchor AS prev_hash, sha256(anchor || '|' || payload) AS hash FROM s
+          UNION ALL SELECT n.log_id, n.seq, n.payload, r.hash, sha256(r.hash || '|' || n.payload) FROM r JOIN n ON n.log_id = r.log_id AND n.seq = r.seq + 1 WHERE (n.seq - 1) % 1000 <> 0)
+    SELECT * FROM r""")
 def _(t):
     return audit.running_hash_chain(t.audit_payload, "log_id", ["ts", "event_id"], "payload")
 

@@ -262,3 +262,25 @@ def _(t):
         (F.col("row_count") % 4).alias("dependencies"),
     )
     return reconcile.migration_impact(stats, checkpoints=False, rollback=True)
+
+
+@query("tables_function", """
+    SELECT 'null_check' AS check_name, 'customer.c_name' AS subject, count(*) FILTER (c_name IS NULL) AS n FROM {dirty_customer}
+    UNION ALL SELECT 'null_check', 'customer.c_mktsegment', count(*) FILTER (c_mktsegment IS NULL) FROM {dirty_customer}
+    UNION ALL SELECT 'duplicates', 'lineitem', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
+    UNION ALL SELECT 'unconvertible', 'orders.o_totalprice', count(*) FILTER (o_totalprice = 'n/a') FROM {orders_staged}
+    UNION ALL SELECT 'row_difference', 'orders', (SELECT count(*) FROM orders) - (SELECT count(*) FROM {orders_target})""")
+def _(t):
+    def tagged(df, name, subject, n):
+        return df.select(F.lit(name).alias("check_name"), subject.alias("subject"), n.alias("n"))
+
+    nulls = quality.required_nulls(t.dirty_customer, "customer", ["c_name", "c_mktsegment"])
+    again = quality.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"]).agg(F.count("*").alias("n"))
+    types = profile.type_check(t.orders_staged, t.orders).where("unconvertible > 0")
+    counts = quality.count_check(t.orders, t.orders_target, "orders")
+    return (
+        tagged(nulls, "null_check", F.concat_ws(".", "table_name", "column_name"), F.col("null_count"))
+        .unionByName(tagged(again, "duplicates", F.lit("lineitem"), F.col("n")))
+        .unionByName(tagged(types, "unconvertible", F.concat(F.lit("orders."), F.col("column_name")), F.col("unconvertible")))
+        .unionByName(tagged(counts, "row_difference", F.lit("orders"), F.col("source_rows") - F.col("target_rows")))
+    )

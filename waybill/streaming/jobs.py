@@ -63,7 +63,11 @@ def closed_sessions(events: DataFrame, root: str, gap: str, delay: str) -> DataF
 
 
 def hourly_counts_with_retention(events: DataFrame, root: str, keep: str = "24 hours") -> tuple[DataFrame, int]:
-    """Hourly counts whose state is kept for ``keep``; later rows are dropped and counted."""
+    """Hourly counts whose state is kept for ``keep``; later rows are dropped and counted.
+
+    The count is of the partial aggregates that came too late. Called again with the same ``root``
+    the job goes on with the files that arrived since.
+    """
     counts = (
         _instants(events, "ts")
         .withWatermark("ts", keep)
@@ -99,8 +103,10 @@ def pipe_ingest(lines: DataFrame, root: str, fields: dict[str, tuple[str, str]],
     loaded, rejected = batch_folder(root, "loaded"), batch_folder(root, "rejected")
 
     def write(rows: DataFrame, batch: int) -> None:
+        rows.persist()  # two sinks, one parse
         loaded(rows.where("__good").select(*fields), batch)
         rejected(rows.where("NOT __good").select("value"), batch)
+        rows.unpersist()
 
     run_to_end(marked, root, write=write)
     spark = lines.sparkSession
@@ -201,11 +207,3 @@ def error_rate_windows(events: DataFrame, root: str, ts: str, width: str, failed
     run_to_end(counts, root, "update")
     final = latest_rows(events.sparkSession, root, ["window_start"])
     return final.withColumn("error_rate", F.col("failed").cast("double") / F.col("total")).where(F.col("error_rate") > limit)
-
-
-def replay(spark: SparkSession, rows: DataFrame, root: str, part: Column, parts: int) -> str:
-    """Write rows as ``parts`` arrivals one after another, for a file stream that reads one at a time."""
-    rows.withColumn("__part", part).repartition("__part").sortWithinPartitions("__part").write.partitionBy("__part").parquet(f"{root}/split")
-    for i in range(parts):
-        spark.read.schema(rows.schema).parquet(f"{root}/split/__part={i}").coalesce(1).write.mode("append").parquet(f"{root}/arrivals")
-    return f"{root}/arrivals"
