@@ -15,52 +15,56 @@ All orders are ascending with NULL first.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64  # a power of two
+SLICES = 64
 _S, _T = SLICE_COLUMNS = "__slice", "__tie"
 
 
-def _cut_points(df: DataFrame, column: str, slices: int) -> Column:
-    steps = [i / slices for i in range(1, slices)]
-    return df.select(F.percentile_approx(column, steps, 50 * slices).alias("cuts")).scalar()
-
+def _cut_points(df: DataFrame, columns: Sequence[str], slices: int) -> list[list[tuple[Column, int]]]:
+    """Ascending cut points of each column as literals, with the number of quantile steps each fills.
 
-def _position(cuts: Column, value: Column, slices: int) -> Column:
-    """How many cut points are <= value, by binary search over the sorted array."""
-    halves = []
-    step = slices // 2
-    while step:
-        halves.append(step)
-        step //= 2
+    They are read once (``slices - 1`` values per column) and become part of the plan, so every
+    branch of a query cuts alike, also when tasks or stages are repeated. They decide balance only;
+    the coarse accuracy keeps the sketches that meet in the last task small.
+    """
+    steps = [i / slices for i in range(1, slices)]
+    quantiles = [F.percentile_approx(c, steps, 4 * slices).cast("array<string>") for c in columns]
+    row = df.agg(*[q.alias(f"c{i}") for i, q in enumerate(quantiles)]).first()
+    kinds = [df.schema[c].dataType.simpleString() for c in columns]
+    return [[(F.lit(v).cast(kind), n) for v, n in Counter(values or []).items()] for kind, values in zip(kinds, row)]
+
+
+def _position(cuts: Sequence[Column], value: Column) -> Column:
+    """How many cut points are <= value, by binary search in an array of literals."""
+    steps = []
+    step = 1
+    while step <= len(cuts):
+        steps.insert(0, step)
+        step *= 2
+    if not steps:
+        return F.lit(0)
+    points, last = F.array(*cuts), len(cuts)
     return F.aggregate(
-        F.array(*[F.lit(h) for h in halves]),
+        F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda at, h: F.when(F.element_at(cuts, at + h) <= value, at + h).otherwise(at),
+        lambda at, s: F.when((at + s <= last) & (F.get(points, at + s - 1) <= value), at + s).otherwise(at),
     )
 
 
 def sliced(df: DataFrame, order: Sequence[str], slices: int = SLICES) -> DataFrame:
     """Add the slice of each row; (slice, tie) is monotone in ``order``."""
-    cuts = _cut_points(df, order[0], slices)
-    out = df.withColumn("__cuts", cuts).withColumn(_S, _position(F.col("__cuts"), F.col(order[0]), slices))
-    if len(order) == 1:
-        return out.withColumn(_T, F.lit(slices)).drop("__cuts")
-    at = F.col(_S)
-    frequent = (
-        (at >= 2)
-        & (F.get("__cuts", at - 1) == F.col(order[0]))
-        & (F.get("__cuts", at - 2) == F.col(order[0]))
-    )
-    tie = _position(F.col("__ties"), F.col(order[1]), slices)
-    return (
-        out.withColumn("__ties", _cut_points(df, order[1], slices))
-        .withColumn(_T, F.when(frequent, tie).otherwise(F.lit(slices)))
-        .drop("__cuts", "__ties")
-    )
+    cuts = _cut_points(df, order[:2], slices)
+    out = df.withColumn(_S, _position([c for c, _ in cuts[0]], F.col(order[0])))
+    frequent = [c for c, n in cuts[0] if n > 1]
+    if len(order) == 1 or not frequent:
+        return out.withColumn(_T, F.lit(slices))
+    tie = _position([c for c, _ in cuts[1]], F.col(order[1]))
+    return out.withColumn(_T, F.when(F.col(order[0]).isin(frequent), tie).otherwise(F.lit(slices)))
 
 
 def join_slices(rows: DataFrame, per_slice: DataFrame, keys: Sequence[str]) -> DataFrame:

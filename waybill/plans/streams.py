@@ -62,7 +62,7 @@ def _(t):
 
 
 @query("watermark_retention", """
-    WITH a AS (SELECT ts, least(9, greatest(0, date_diff('day', DATE '2024-01-01', CAST(CASE WHEN event_id % 200 = 0 THEN ts + INTERVAL 30 HOUR ELSE ts END AS DATE)) // 3)) AS step FROM events),
+    WITH a AS (SELECT ts, least(3, greatest(0, date_diff('day', DATE '2024-01-01', CAST(CASE WHEN event_id % 200 = 0 THEN ts + INTERVAL 30 HOUR ELSE ts END AS DATE)) // 8)) AS step FROM events),
     m AS (SELECT step, max(max(ts)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 24 HOUR AS mark FROM a GROUP BY step)
     SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM a JOIN m USING (step)
     WHERE mark IS NULL OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > mark GROUP BY 1""")
@@ -70,9 +70,9 @@ def _(t):
     root = fresh_dir(t.spark, "late")
     late = F.expr("INTERVAL '30' HOUR")
     arrival = F.when(F.col("event_id") % 200 == 0, F.col("ts") + late).otherwise(F.col("ts"))
-    step = F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.datediff(arrival, F.expr("DATE '2024-01-01'")) / 3))).cast("int")
+    step = F.least(F.lit(3), F.greatest(F.lit(0), F.floor(F.datediff(arrival, F.expr("DATE '2024-01-01'")) / 8))).cast("int")
     arriving = t.events.withColumn("step", step)
-    for i in range(10):  # files arrive in ten deliveries; some rows are 30 hours late
+    for i in range(4):  # files arrive in four deliveries; some rows are 30 hours late
         arriving.where(F.col("step") == i).drop("step").write.mode("append").parquet(f"{root}/arrivals")
         stream = file_stream(t.spark, f"{root}/arrivals", t.events.schema)
         counts, _ = jobs.hourly_counts_with_retention(stream, f"{root}/job")

@@ -21,7 +21,7 @@ def table_profile(df: DataFrame, table: str, exact_distinct: bool = False) -> Da
     """One row per column: position, type, rows, nulls, distinct values, smallest and greatest value.
 
     Distinct values are estimated in the same pass; ``exact_distinct`` counts them by value
-    instead, which shuffles one row per distinct value and column.
+    instead, which shuffles the distinct values of each column.
     """
     fields = list(df.schema)
     aggs = [F.count("*").alias("n")]
@@ -46,18 +46,15 @@ def table_profile(df: DataFrame, table: str, exact_distinct: bool = False) -> Da
     out = tall(df.agg(*aggs), "column_name", facts)
     if not exact_distinct:
         return out
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column_name"), _text(F.col(f.name), f.dataType.simpleString()).alias("v")) for f in fields])
-    counted = (
-        df.select(F.explode(cells).alias("c"))
-        .select("c.*")
-        .where(F.col("v").isNotNull())
-        .distinct()
-        .groupBy("column_name")
-        .agg(F.count("*").alias("distinct_values"))
-    )
-    return out.join(counted, "column_name", "left").withColumn(
-        "distinct_values", F.coalesce("distinct_values", F.lit(0).cast("long"))
+    # a branch per column reads that column alone and keeps its type
+    counted = reduce(
+        DataFrame.unionByName,
+        [
+            df.select(f.name).distinct().agg(F.count(f.name).alias("distinct_values")).select(F.lit(f.name).alias("column_name"), "distinct_values")
+            for f in fields
+        ],
     )
+    return out.join(counted, "column_name")
 
 
 def profiles(tables: Mapping[str, DataFrame], exact_distinct: bool = False) -> DataFrame:
