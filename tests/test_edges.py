@@ -197,3 +197,11 @@ def test_asof_ties_and_missing_points(spark):
     make = lambda data: spark.createDataFrame(data, "k int, ts int, id long")
     got = history.recovery_point_asof(make([(1, 5, 100), (1, 1, 101), (2, 9, 102)]), make([(1, 5, 7), (1, 5, 8), (1, 6, 9)]), "k", "ts", "id")
     assert {r["request_id"]: r["point_id"] for r in got.collect()} == {100: 8, 101: None, 102: None}
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    from waybill.session import shared_root
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_root(spark) == (named or shared_root(spark))
+    assert fresh_dir(spark, "x") != fresh_dir(spark, "x")

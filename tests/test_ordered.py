@@ -80,3 +80,15 @@ def test_empty(spark, rows):
     assert ordered.ordered_by_key(none, ["k"], ["t", "id"], lag={"b": "id"}, running={"s": "v"}).count() == 0
     assert ordered.percentiles_cont(none, ["k"], "v", {"p": 0.5}).count() == 0
     assert skew_join(none, rows.select("k").distinct(), "k").count() == 0
+
+
+def test_instants_across_a_clock_change(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        start = 1729987200  # the night in which clocks go back
+        df = spark.range(2000).select("id", F.lit(1).alias("k"), F.timestamp_seconds(F.lit(start) + F.col("id") * 5).alias("t"))
+        want = df.withColumn("b", F.lag("id").over(Window.partitionBy("k").orderBy("t", "id")))
+        assert same(ordered.ordered_by_key(df, ["k"], ["t", "id"], lag={"b": "id"}), want)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

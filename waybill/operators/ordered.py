@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 SLICES = 64
 _S, _T = SLICE_COLUMNS = "__slice", "__tie"
+_TOTAL = "__total"
 
 
 def _cut_points(df: DataFrame, columns: Sequence[str], slices: int) -> list[list[tuple[Column, int]]]:
@@ -33,10 +34,18 @@ def _cut_points(df: DataFrame, columns: Sequence[str], slices: int) -> list[list
     the coarse accuracy keeps the sketches that meet in the last task small.
     """
     steps = [i / slices for i in range(1, slices)]
-    quantiles = [F.percentile_approx(c, steps, 4 * slices).cast("array<string>") for c in columns]
-    row = df.agg(*[q.alias(f"c{i}") for i, q in enumerate(quantiles)]).first()
     kinds = [df.schema[c].dataType.simpleString() for c in columns]
-    return [[(F.lit(v).cast(kind), n) for v, n in Counter(values or []).items()] for kind, values in zip(kinds, row)]
+    quantiles = []
+    for c, kind in zip(columns, kinds):
+        found = F.percentile_approx(c, steps, 4 * slices)
+        # instants travel as microseconds: their text repeats an hour when clocks go back
+        quantiles.append((F.transform(found, F.unix_micros) if kind == "timestamp" else found).cast("array<string>"))
+    row = df.agg(*[q.alias(f"c{i}") for i, q in enumerate(quantiles)]).first()
+
+    def literal(text: str, kind: str) -> Column:
+        return F.timestamp_micros(F.lit(int(text))) if kind == "timestamp" else F.lit(text).cast(kind)
+
+    return [[(literal(v, kind), n) for v, n in Counter(values or []).items()] for kind, values in zip(kinds, row)]
 
 
 def _position(cuts: Sequence[Column], value: Column) -> Column:
@@ -56,9 +65,12 @@ def _position(cuts: Sequence[Column], value: Column) -> Column:
     )
 
 
-def sliced(df: DataFrame, order: Sequence[str], slices: int = SLICES) -> DataFrame:
-    """Add the slice of each row; (slice, tie) is monotone in ``order``."""
-    cuts = _cut_points(df, order[:2], slices)
+def sliced(df: DataFrame, order: Sequence[str], slices: int = SLICES, cuts_from: DataFrame | None = None) -> DataFrame:
+    """Add the slice of each row; (slice, tie) is monotone in ``order``.
+
+    ``cuts_from`` may name a cheaper table with the same order columns to take the cut points from.
+    """
+    cuts = _cut_points(df if cuts_from is None else cuts_from, order[:2], slices)
     out = df.withColumn(_S, _position([c for c, _ in cuts[0]], F.col(order[0])))
     frequent = [c for c, n in cuts[0] if n > 1]
     if len(order) == 1 or not frequent:
@@ -163,14 +175,16 @@ def rank_by_key(df, keys: Sequence[str], order: Sequence[str], out: str, slices:
 
 
 def values_at(df, keys: Sequence[str], value: str, picks: Mapping[str, Callable[[Column], Column]], slices: int = SLICES) -> DataFrame:
-    """One row per key with the value at given zero-based positions of the key's sorted values.
+    """One row per key with its count (``__total``) and the values at zero-based positions of its sorted values.
 
     ``picks`` maps an output name to a function from the key's row count to a position.
     Equal values are counted before the shuffle, so neither hot keys nor ties gather rows.
     NULL values are left out.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    rows = sliced(counts, [value], slices)
+    given = df.where(F.col(value).isNotNull())
+    counts = given.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    # a slice holds no more distinct values than rows, so cuts of the rows bound it as well
+    rows = sliced(counts, [value], slices, cuts_from=given)
     per_slice = rows.groupBy(*keys, _S, _T).agg(F.sum("__n").alias("__m"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
@@ -189,6 +203,7 @@ def values_at(df, keys: Sequence[str], value: str, picks: Mapping[str, Callable[
     )
     total = F.col("__total")
     return placed.groupBy(*keys).agg(
+        F.max(total).alias(_TOTAL),
         *[
             F.max(
                 F.when((F.col("__lo") <= position(total)) & (position(total) < F.col("__hi")), F.col(value))
@@ -200,20 +215,17 @@ def values_at(df, keys: Sequence[str], value: str, picks: Mapping[str, Callable[
 
 def percentiles_cont(df, keys: Sequence[str], value: str, fractions: Mapping[str, float], slices: int = SLICES) -> DataFrame:
     """Exact interpolated percentiles (``percentile_cont``) per key."""
-    picks: dict[str, Callable[[Column], Column]] = {"__count": lambda n: n - 1}
+    picks: dict[str, Callable[[Column], Column]] = {}
     for name, p in fractions.items():
         picks[f"__lo_{name}"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
         picks[f"__hi_{name}"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p))
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__size"))
-    got = values_at(df, keys, value, picks, slices).alias("v")
-    cond = [F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    joined = got.join(sizes.alias("s"), cond) if keys else got
+    found = values_at(df, keys, value, picks, slices)
     out = []
     for name, p in fractions.items():
-        spot = (F.col("__size") - 1) * F.lit(p)
+        spot = (F.col(_TOTAL) - 1) * F.lit(p)
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         out.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
-    return joined.select(*[F.col(f"v.{k}").alias(k) for k in keys], *out)
+    return found.select(*keys, *out)
 
 
 def percentiles_floor(df, keys: Sequence[str], value: str, points: Mapping[str, int], slices: int = SLICES) -> DataFrame:
@@ -221,7 +233,7 @@ def percentiles_floor(df, keys: Sequence[str], value: str, points: Mapping[str,
     picks = {
         name: (lambda n, p=p: F.least(F.floor(n * F.lit(p) / F.lit(100)), n - 1)) for name, p in points.items()
     }
-    return values_at(df, keys, value, picks, slices)
+    return values_at(df, keys, value, picks, slices).drop(_TOTAL)
 
 
 def newest_by_key(df, keys: Sequence[str], newest_first: Sequence[Column], spread: str, n: int, out: str = "rn", salts: int = 64) -> DataFrame:

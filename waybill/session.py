@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def local_session(cores: str = "8", partitions: int = 8, **extra: str) -> SparkSession:
     """A session for tests and the local benchmark; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("waybill")
@@ -42,11 +45,12 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="waybill-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="waybill-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
