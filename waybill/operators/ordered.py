@@ -26,10 +26,10 @@ _S, _T = SLICE_COLUMNS = "__slice", "__tie"
 _TOTAL = "__total"
 
 
-def _cut_points(df: DataFrame, columns: Sequence[str], slices: int) -> list[list[tuple[Column, int]]]:
-    """Ascending cut points of each column as literals, with the number of quantile steps each fills.
+def _cut_points(df: DataFrame, columns: Sequence[str], slices: int) -> list[tuple[list[str], str]]:
+    """Ascending cut points of each column as text, repeated where one value fills several steps, and their type.
 
-    They are read once (``slices - 1`` values per column) and become part of the plan, so every
+    They are read once (``slices - 1`` values per column) and become literals of the plan, so every
     branch of a query cuts alike, also when tasks or stages are repeated. They decide balance only;
     the coarse accuracy keeps the sketches that meet in the last task small.
     """
@@ -41,27 +41,27 @@ def _cut_points(df: DataFrame, columns: Sequence[str], slices: int) -> list[list
         # instants travel as microseconds: their text repeats an hour when clocks go back
         quantiles.append((F.transform(found, F.unix_micros) if kind == "timestamp" else found).cast("array<string>"))
     row = df.agg(*[q.alias(f"c{i}") for i, q in enumerate(quantiles)]).first()
+    return [(values or [], kind) for kind, values in zip(kinds, row)]
 
-    def literal(text: str, kind: str) -> Column:
-        return F.timestamp_micros(F.lit(int(text))) if kind == "timestamp" else F.lit(text).cast(kind)
 
-    return [[(literal(v, kind), n) for v, n in Counter(values or []).items()] for kind, values in zip(kinds, row)]
+def _literals(values: Sequence[str], kind: str) -> Column:
+    if kind == "timestamp":
+        return F.expr(f"transform(array({', '.join(values)}), x -> timestamp_micros(x))")
+    texts = ", ".join(f"'{v}'" for v in values)
+    return F.expr(f"CAST(array({texts}) AS array<{kind}>)")
 
 
-def _position(cuts: Sequence[Column], value: Column) -> Column:
-    """How many cut points are <= value, by binary search in an array of literals."""
-    steps = []
-    step = 1
-    while step <= len(cuts):
-        steps.insert(0, step)
-        step *= 2
-    if not steps:
+def _position(cuts: Sequence[str], kind: str, value: Column) -> Column:
+    """How many distinct cut points are <= value, by binary search in an array of literals."""
+    points = list(dict.fromkeys(cuts))
+    if not points:  # no rows, or no values
         return F.lit(0)
-    points, last = F.array(*cuts), len(cuts)
+    steps = [2**i for i in reversed(range(len(points).bit_length()))]
+    found, last = _literals(points, kind), len(points)
     return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
+        F.lit(steps),
         F.lit(0),
-        lambda at, s: F.when((at + s <= last) & (F.get(points, at + s - 1) <= value), at + s).otherwise(at),
+        lambda at, s: F.when((at + s <= last) & (F.get(found, at + s - 1) <= value), at + s).otherwise(at),
     )
 
 
@@ -71,12 +71,14 @@ def sliced(df: DataFrame, order: Sequence[str], slices: int = SLICES, cuts_from:
     ``cuts_from`` may name a cheaper table with the same order columns to take the cut points from.
     """
     cuts = _cut_points(df if cuts_from is None else cuts_from, order[:2], slices)
-    out = df.withColumn(_S, _position([c for c, _ in cuts[0]], F.col(order[0])))
-    frequent = [c for c, n in cuts[0] if n > 1]
+    out = df.withColumn(_S, _position(*cuts[0], F.col(order[0])))
+    values, kind = cuts[0]
+    frequent = [v for v, n in Counter(values).items() if n > 1]
     if len(order) == 1 or not frequent:
         return out.withColumn(_T, F.lit(slices))
-    tie = _position([c for c, _ in cuts[1]], F.col(order[1]))
-    return out.withColumn(_T, F.when(F.col(order[0]).isin(frequent), tie).otherwise(F.lit(slices)))
+    tie = _position(*cuts[1], F.col(order[1]))
+    is_frequent = F.array_contains(_literals(frequent, kind), F.col(order[0]))
+    return out.withColumn(_T, F.when(is_frequent, tie).otherwise(F.lit(slices)))
 
 
 def join_slices(rows: DataFrame, per_slice: DataFrame, keys: Sequence[str]) -> DataFrame:
