@@ -36,8 +36,6 @@ def events_ts() -> Column:
 # token -> (Spark, DuckDB)
 _DIALECT = {
     "@TS": ("TIMESTAMP_NTZ", "TIMESTAMP"),
-    "@SHA256": ("sha2(", "sha256("),
-    "@END256": (", 256)", ")"),
     "@STRFMT": ("date_format(", "strftime("),
     "@YMD": ("'yyyy-MM-dd'", "'%Y-%m-%d'"),
     "@MDY": ("'MM/dd/yyyy'", "'%m/%d/%Y'"),
@@ -45,7 +43,6 @@ _DIALECT = {
     "@YMDHMS": ("'yyyy-MM-dd HH:mm:ss'", "'%Y-%m-%d %H:%M:%S'"),
     "@PICK": ("element_at(array(", "list_extract(list_value("),
     "@DIV": ("DIV", "//"),
-    "@SECONDS": ("INTERVAL '1' SECOND * ", "INTERVAL '1' SECOND * "),
 }
 
 # The shift keeps re-keyed rows clear of real keys at every scale.
