@@ -104,9 +104,10 @@ def block_pairs(nodes: DataFrame, distance: int) -> DataFrame:
             .select("a", "b")
         )
         if depth:
-            below = F.sequence(F.lit(0), F.lit(FAN - 1))
-            pairs = pairs.select((F.col("a") * FAN + F.explode(below)).alias("a"), "b")
-            pairs = pairs.select("a", (F.col("b") * FAN + F.explode(below)).alias("b")).where("a <= b")
+            for side in ("a", "b"):
+                below = F.sequence(F.col(side) * FAN, F.col(side) * FAN + FAN - 1)
+                pairs = pairs.withColumn(side, F.explode(below))
+            pairs = pairs.where("a <= b")
     return pairs
 
 
