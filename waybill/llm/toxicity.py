@@ -5,9 +5,9 @@ Three machines are composed:
 1. *Lexicon*: an Aho-Corasick automaton over characters reads a text and writes INSULT, THREAT or nothing for each word. Its words
    and word beginnings are a fixed list and what the labels teach (``learn_lexicon``).
 2. *Roles*: in a clause that has such a word, each word becomes one of INSULT, THREAT, TARGET, NEGATION, REPORT or OTHER.
-3. *Grammar*: a transducer reads the roles of a clause from left to right. Its state is whether a target was met, whether a negation
-   reaches this far, and whether the clause is reported speech. For an insult or threat it writes a symbol of
-   ``SYMBOLS``; the clause is worth the weights of its symbols.
+3. *Grammar*: a transducer reads the roles of a clause from left to right. Its state is whether the clause has a target, whether a
+   negation reaches this far, and whether the speech is reported. For an insult or threat it writes the ``SYMBOLS`` that
+   hold in its state; the clause is worth the weights of its symbols.
 
 A document's score is the logistic value of its clause weights. Starting weights say what the grammar means (negated and reported
 clauses count less, aimed ones more); the labels move them as far as there is evidence.
@@ -17,8 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from itertools import product
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.base import unused
+from waybill.llm.base import stored, unused
 
 # The built-in word lists, in English, German, French and Spanish.
 INSULTS = ("idiot moron stupid scum loser trash worthless pathetic disgusting clown imbecile bastard idiota imbecil "
@@ -40,24 +39,21 @@ REPORTS = ("said says say called calls wrote quoted reported claimed sagte sagt
 
 #: How many words a negation reaches.
 REACH = 3
-#: What the grammar writes: insult or threat, aimed or not, negated or not, reported or not; and its starting weight.
-SYMBOLS = tuple(product(("insult", "threat"), (False, True), (False, True), (False, True)))
-PRIOR = tuple(
-    (3.0 if kind == "insult" else 2.0) * (0.5 if negated else 1.0) * (0.6 if reported else 1.0) + (0.5 if aimed else 0.0)
-    for kind, aimed, negated, reported in SYMBOLS
-)
-#: Starting value of a document without any matched clause, and the strength of the starting weights in documents.
-BIAS, STRENGTH = -3.0, 4.0
+#: What the grammar writes for an insult or threat: its kind, and whether it is aimed, negated or reported; and starting weights.
+SYMBOLS = ("insult", "threat", "aimed", "negated", "reported")
+PRIOR = (4.5, 3.0, 0.5, -1.5, -1.0)
+#: Starting value of a document without any matched clause, and how many documents the starting weights are worth.
+BIAS, STRENGTH = -3.0, 1.0
 #: Counts of a symbol above this say no more.
 MOST = 3
 #: Labelled rows used to fit, at most about.
 FIT_ROWS = 200_000
-#: A word or beginning is learned if it has at least this many hits in toxic documents, and is this many times likelier there.
-LEAST_HITS, LEAST_RATIO = 4, 12.0
-#: The same number of hits as a share of the toxic documents, for large samples.
-LEAST_SHARE = 0.003
-#: Shortest and longest beginning.
-STEM = (4, 7)
+#: A learned pattern may have this share of hits in documents that are not toxic.
+IMPURE = 0.02
+#: How often the toxic documents that no pattern explains yet are looked at.
+ROUNDS = 3
+#: Shortest and longest beginning of a word that is learned.
+STEM = (4, 8)
 
 _CLAUSE = re.compile(r"[.!?;:,\n]+")
 _WORD = re.compile(r"\w+")
@@ -97,12 +93,13 @@ class Grammar:
             elif role == "negation":
                 reach = REACH + 1
             elif role in ("insult", "threat"):
-                out.append(SYMBOLS.index((role, aimed, reach > 0, reported)))
+                holds = (role == "insult", role == "threat", aimed, reach > 0, reported)
+                out += [k for k, h in enumerate(holds) if h]
             reach = max(0, reach - 1)
         return out
 
     def features(self, text: str | None) -> tuple[int, ...]:
-        """How often each symbol is written in a text, MOST at most."""
+        """How often each symbol is written in a text, up to MOST."""
         counts = [0] * len(SYMBOLS)
         if not text or not self.patterns:
             return tuple(counts)
@@ -119,46 +116,81 @@ class Grammar:
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[str, str]:
-    """The fixed words, and words and word beginnings that toxic texts of ``labelled`` (text, toxic) have and others do not.
+    """The fixed words, and words and word beginnings that only toxic texts of ``labelled`` (text, toxic) have.
 
-    Equal texts count once. A beginning stands for all its words, and of beginnings that tell as much the shortest is kept. What is
-    gathered on the driver are the patterns that pass the test.
+    A pattern is learned if so many toxic documents have it that chance would not bring about one such pattern among all that
+    were looked at, and next to no others do. Of beginnings that tell as much the shortest is kept. Toxic documents
+    without a learned pattern are then looked at again by themselves. Documents that share the line with the least hash
+    are copies of each other and count once. The driver holds the learned patterns only.
     """
-    words = (
-        labelled.groupBy(F.xxhash64("text").alias("same"), "toxic")
-        .agg(F.first("text").alias("text"))
-        .select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("word"))
-        .where(F.length("word") >= 3)
-        .groupBy("word")
-        .agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("hits"))
+    line = F.array_min(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.trim(x))))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
+    once = stored(
+        labelled.groupBy(line.alias("line"), "toxic")
+        .agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+        .select("toxic", F.filter(words, lambda w: F.length(w) >= 3).alias("words")),
+        "toxicity-words",
     )
-    beginnings = F.transform(
-        F.sequence(F.lit(STEM[0]), F.lit(STEM[1])),
-        lambda n: F.when(F.length("word") >= n, F.concat(F.substring("word", F.lit(1), n), F.lit("*"))),
-    )
-    patterns = (
-        words.select(F.explode(F.array_compact(F.array_append(beginnings, F.col("word")))).alias("pattern"), "bad", "hits")
-        .groupBy("pattern")
-        .agg(F.sum("bad").alias("bad"), F.sum("hits").alias("hits"))
-    )
-    sums = labelled.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("docs")).first()
+    fixed = {w: "insult" for w in INSULTS} | {w: "threat" for w in THREATS}
+    sums = once.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("docs")).first()
     bad, docs = sums["bad"] or 0, sums["docs"] or 0
     if not bad or bad == docs:
-        return {w: "insult" for w in INSULTS} | {w: "threat" for w in THREATS}
-    least = max(LEAST_HITS, math.ceil(bad * LEAST_SHARE))
-    odds = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("hits") - F.col("bad") + 0.5) / (docs - bad + 1))
-    found = {
-        r["pattern"]: r["bad"]
-        for r in patterns.where((F.col("bad") >= least) & (F.col("bad") > 0.8 * F.col("hits")) & (odds >= LEAST_RATIO))
-        .select("pattern", "bad")
-        .collect()
-    }
+        return fixed
+
+    def patterns(word: F.Column) -> F.Column:
+        """A word and its beginnings; a beginning has a star."""
+        begun = F.transform(
+            F.sequence(F.lit(STEM[0]), F.lit(STEM[1])),
+            lambda n: F.when(F.length(word) >= n, F.concat(F.substring(word, F.lit(1), n), F.lit("*"))),
+        )
+        return F.array_compact(F.array_append(begun, word))
+
+    clean = stored(
+        once.where("toxic = 0").select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("hits")),
+        "toxicity-clean",
+    ).select(F.explode(patterns(F.col("word"))).alias("pattern"), "hits")
     learned: dict[str, str] = {}
-    for pattern in sorted(found, key=lambda p: (len(p), p)):
+    toxic = once.where("toxic = 1")
+    for _ in range(ROUNDS):
+        found = (
+            toxic.select(F.explode(F.array_distinct(F.flatten(F.transform("words", patterns)))).alias("pattern"))
+            .groupBy("pattern")
+            .agg(F.count(F.lit(1)).alias("bad"))
+        )
+        found = stored(found.where("bad > 1"), "toxicity-patterns")
+        least = (math.log(found.count() + 1) + 2) / math.log(docs / bad)
+        found = found.where(F.col("bad") >= max(3, least))
+        others = clean.join(found, "pattern", "left_semi").groupBy("pattern").agg(F.sum("hits").alias("hits"))
+        pure = found.join(others, "pattern", "left").where(F.coalesce("hits", F.lit(0)) <= F.col("bad") * IMPURE)
+        new = _shortest(r["pattern"] for r in pure.select("pattern").collect())
+        if not new:
+            break
+        learned |= new
+        toxic = stored(toxic.where(~_matched(F.col("words"), learned)), "toxicity-left")
+        bad = toxic.count()
+        if not bad:
+            break
+    return fixed | learned
+
+
+def _shortest(patterns: Iterable[str]) -> dict[str, str]:
+    """The patterns that no shorter beginning among them covers."""
+    out: dict[str, str] = {}
+    for pattern in sorted(patterns, key=lambda p: (len(p), p)):
         stem = pattern.rstrip("*")
-        if not any(stem[:n] + "*" in learned for n in range(1, len(stem) + 1)):
-            learned[pattern] = "insult"
-    return {w: "insult" for w in INSULTS} | {w: "threat" for w in THREATS} | learned
+        if not any(stem[:n] + "*" in out for n in range(1, len(stem) + 1)):
+            out[pattern] = "insult"
+    return out
+
+
+def _matched(words: F.Column, patterns: dict[str, str]) -> F.Column:
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        grammar = Grammar(patterns)
+        for batch in batches:
+            yield pd.Series([any(grammar.kind(w) for w in words) for words in batch], dtype=bool)
+
+    return run(words)
 
 
 def fit_weights(cells: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
@@ -168,7 +200,7 @@ def fit_weights(cells: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
         return prior
     x = np.array([[1, *f] for f, _, _ in cells], dtype=float)
     y, n = np.array([t for _, t, _ in cells], dtype=float), np.array([c for _, _, c in cells], dtype=float)
-    w, pull = prior.copy(), np.full(len(prior), STRENGTH / 4)
+    w, pull = prior.copy(), np.full(len(prior), STRENGTH)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (n * (p - y)) + pull * (w - prior)
