@@ -122,8 +122,8 @@ def _levels(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices into the Gray-sorted codes a and b whose codes differ in at most ``distance`` bits; i < j if a is b."""
-    same, la = a is b, _levels(a)
-    lb = la if same else _levels(b)
+    same, la = a is b, _levels(a.view(np.uint64))  # of signed numbers numpy counts the bits of the absolute value
+    lb = la if same else _levels(b.view(np.uint64))
     while len(la) < len(lb):
         la.append(la[-1])
     while len(lb) < len(la):
