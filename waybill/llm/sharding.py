@@ -19,7 +19,7 @@ DIMENSIONS = ("chars", "lang", "source", "doc")
 #: Bits of a dimension in the sort key; the rest is a hash that tells units with equal values apart.
 VALUE_BITS, DIGIT = 32, 16
 #: Rows of a shard that one task numbers, and the heaviest unit as a share of a shard.
-ROWS_PER_CHUNK, HEAVIEST = 100_000, 1 / 32
+ROWS_PER_CHUNK, HEAVIEST = 100_000, 1 / 8
 
 
 def _ordinals(units: DataFrame, column: str) -> DataFrame:
