@@ -90,26 +90,39 @@ def test_cooldown_against_a_plain_loop(spark):
         assert sorted((r["rule"], r["id"]) for r in got.collect()) == _fires(alerts, seconds)
 
 
-def test_hash_chain_is_linked_and_sensitive(spark):
+def _audit_log(spark):
+    events = spark.range(2500).select(F.lit(1).alias("log"), (F.col("id") / 900).cast("int").alias("part"), "id", F.concat(F.lit("p"), "id").alias("payload"))
+    return audit.running_hash_chain(events, "log", "part", ["id"], "payload")
+
+
+def test_hash_chain_is_linked(spark):
     import hashlib
 
-    events = spark.range(2500).select(F.lit(1).alias("log"), "id", F.concat(F.lit("p"), "id").alias("payload"))
-    got = sorted(audit.running_hash_chain(events, "log", ["id"], "payload", size=1000).collect(), key=lambda r: r["seq"])
+    got = sorted(_audit_log(spark).collect(), key=lambda r: r["id"])
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert [r["seq"] for r in got] == list(range(1, 2501))
+    assert [r["id"] for r in got] == list(range(2500)) and [r["seq"] for r in got] == [i % 900 + 1 for i in range(2500)]
     for i, r in enumerate(got):
         assert r["hash"] == digest(f"{r['prev_hash']}|p{i}")
-        if i % 1000:
+        if i % 900:
             assert r["prev_hash"] == got[i - 1]["hash"]
-    assert got[0]["prev_hash"] == digest("log 1")
-    assert got[1000]["prev_hash"] == digest("".join(digest(f"p{i}") for i in range(1000)))
-
-
-def test_every_audit_link_is_checked(spark):
-    log = audit.chained_log(spark.range(20).select(F.lit(1).alias("log"), "id", F.col("id").cast("string").alias("payload")), "log", ["id"], "payload")
-    forged = log.withColumn("hash", F.when(F.col("id") == 7, "x").otherwise(F.col("hash")))
-    seen = {r["id"]: (r["hash_ok"], r["link_ok"]) for r in audit.audit_chain_verify(forged, "log", ["id"], "payload").collect()}
-    assert seen[7] == (False, True) and seen[8] == (True, False) and all(v == (True, True) for k, v in seen.items() if k not in (7, 8))
+    assert got[0]["prev_hash"] == digest("log|1|0|")
+    assert got[900]["prev_hash"] == digest("log|1|1|" + digest("".join(digest(f"p{i}") for i in range(900))))
+
+
+def test_every_change_to_a_chain_is_seen(spark):
+    log = _audit_log(spark)
+    seen = lambda changed: {
+        r["id"] for r in audit.audit_chain_verify(changed, "log", "part", ["id"], "payload").collect() if not (r["hash_ok"] and r["link_ok"])
+    }
+    assert seen(log) == set()
+    assert seen(log.withColumn("hash", F.when(F.col("id") == 7, "x").otherwise(F.col("hash")))) == {7, 8}
+    assert seen(log.withColumn("payload", F.when(F.col("id") == 7, "x").otherwise(F.col("payload")))) == {7, 900}
+    assert seen(log.where("id <> 7")) == {8, 900}
+    # whoever forges an event together with its hash and the next link is betrayed by the next hash
+    forged = F.when(F.col("id") == 7, "x").otherwise(F.col("payload"))
+    made = log.where("id = 7").select(F.sha2(F.concat("prev_hash", F.lit("|x")), 256).alias("h")).first()["h"]
+    both = log.withColumns({"payload": forged, "hash": F.when(F.col("id") == 7, made).otherwise(F.col("hash")), "prev_hash": F.when(F.col("id") == 8, made).otherwise(F.col("prev_hash"))})
+    assert seen(both) == {8, 900}
 
 
 def test_access_rules(spark):

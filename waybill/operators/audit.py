@@ -1,62 +1,75 @@
-"""Hash chains over audit logs."""
+"""Hash chains over audit logs.
 
-from __future__ import annotations
+A log is written in rotations (files, days), given by a column. Inside a rotation each event's hash covers its payload and the hash of
+the event before. The first event of a rotation is chained to an anchor: a digest of the log, the rotation and all payloads of
+the rotation before. So rotations are chained and checked in parallel, and a change, a removal or a reordering breaks a hash
+or a link. A rotation is the unit of sequential work and is held by one task.
+"""
 
-import hashlib
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.operators.ordered import ordered_by_key, row_number_by_key
+CHUNK = 256  # events per step of a chain; bounds the copying of arrays, not the events
 
-SEGMENT = 1000  # events per segment
 
+def _link(before: Column, payload: Column) -> Column:
+    return F.sha2(F.concat(before, F.lit("|"), payload), 256)
 
-def chained_log(events: DataFrame, log: str, order: list[str], payload: str) -> DataFrame:
-    """Give each event the hash of its payload and the hash of the event before it in its log."""
-    hashed = events.withColumn("hash", F.sha2(payload, 256))
-    return ordered_by_key(hashed, [log], order, lag={"prev_hash": "hash"})
 
+def _rotations(events: DataFrame, log: str, rotation: str, order: list[str], payload: str) -> DataFrame:
+    """A row per rotation: its events in order, its anchor and its log."""
+    entry = F.struct(*order, F.col(payload).alias("__payload"))
+    kept = F.array_sort(F.collect_list(entry)).alias("__events")
+    digest = F.sha2(F.array_join(F.transform("__events", lambda e: F.sha2(e["__payload"], 256)), ""), 256)
+    before = F.lag("__digest").over(Window.partitionBy(log).orderBy(rotation))
+    parts = [F.lit("log"), F.col(log).cast("string"), F.col(rotation).cast("string"), F.coalesce(before, F.lit(""))]
+    return events.groupBy(log, rotation).agg(kept).withColumn("__digest", digest).withColumn("__anchor", F.sha2(F.concat_ws("|", *parts), 256))
 
-def audit_chain_verify(entries: DataFrame, log: str, order: list[str], payload: str) -> DataFrame:
-    """Whether each event's hash fits its payload and its link fits the event before; every event is checked."""
-    seen = ordered_by_key(entries, [log], order, lag={"__before": "hash"})
-    return (
-        seen.withColumn("hash_ok", F.col("hash") == F.sha2(payload, 256))
-        .withColumn("link_ok", F.col("prev_hash").eqNullSafe(F.col("__before")))
-        .drop("__before")
-    )
 
+def running_hash_chain(events: DataFrame, log: str, rotation: str, order: list[str], payload: str) -> DataFrame:
+    """Events with seq (from 1 in their rotation), prev_hash and hash = sha256(prev_hash | payload)."""
+    started = F.struct(F.col("__anchor").alias("last"), F.array().cast("array<string>").alias("hashes"))
+
+    def step(state, event):
+        made = _link(state["last"], event["__payload"])
+        return F.struct(made.alias("last"), F.array_append(state["hashes"], made).alias("hashes"))
 
-def _chain(segment: pd.DataFrame) -> pd.DataFrame:
-    rows = segment.sort_values("seq")
-    prev, before, now = rows["anchor"].iloc[0], [], []
-    for text in rows["payload"]:
-        before.append(prev)
-        prev = hashlib.sha256(f"{prev}|{text}".encode()).hexdigest()
-        now.append(prev)
-    return rows.assign(prev_hash=before, hash=now)[["log_id", "seq", "payload", "prev_hash", "hash"]]
-
-
-def running_hash_chain(events: DataFrame, log: str, order: list[str], payload: str, size: int = SEGMENT) -> DataFrame:
-    """Chain of hashes per log: hash = sha256(prev_hash | payload).
-
-    A chain is sequential, so a log is cut into segments of ``size`` events, as a log writer rotates
-    files. The first event of a segment is chained to the digest of the whole segment before
-    (over its payload hashes in order), which needs no walk through earlier segments. Segments are
-    chained in parallel, and a change anywhere breaks its own segment and the start of the next.
-    """
-    numbered = row_number_by_key(
-        events.select(F.col(log).alias("log_id"), *order, F.col(payload).alias("payload")), ["log_id"], order, "seq"
-    ).select("log_id", "seq", "payload", F.floor((F.col("seq") - 1) / size).alias("segment"))
-    # at most ``size`` hashes per group
-    ordered = F.array_sort(F.collect_list(F.struct("seq", F.sha2("payload", 256).alias("h"))))
-    digests = numbered.groupBy("log_id", "segment").agg(F.sha2(F.array_join(F.transform(ordered, lambda e: e["h"]), ""), 256).alias("digest"))
-    anchors = digests.select("log_id", (F.col("segment") + 1).alias("segment"), F.col("digest").alias("__before"))
-    first = F.sha2(F.concat(F.lit("log "), F.col("log_id").cast("string")), 256)
-    anchored = numbered.join(anchors, ["log_id", "segment"], "left").withColumn("anchor", F.coalesce("__before", first))
-    return anchored.groupBy("log_id", "segment").applyInPandas(
-        _chain, f"log_id {events.schema[log].dataType.simpleString()}, seq long, payload string, prev_hash string, hash string"
+    def chunk(state, part):
+        inner = F.aggregate(part, F.struct(state["last"].alias("last"), F.array().cast("array<string>").alias("hashes")), step)
+        return F.struct(inner["last"].alias("last"), F.array_append(state["done"], inner["hashes"]).alias("done"))
+
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("__events") - 1) / CHUNK).cast("int")),
+        lambda k: F.slice("__events", k * CHUNK + 1, F.lit(CHUNK)),
+    )
+    begun = F.struct(started["last"].alias("last"), F.array().cast("array<array<string>>").alias("done"))
+    hashes = F.flatten(F.aggregate(chunks, begun, chunk, lambda s: s["done"]))
+    chained = _rotations(events, log, rotation, order, payload).withColumn("__hashes", hashes)
+    rows = chained.select(
+        log,
+        rotation,
+        F.posexplode(F.arrays_zip("__events", "__hashes", F.concat(F.array("__anchor"), "__hashes").alias("__before"))).alias("__at", "__row"),
+    ).where("__row.__events IS NOT NULL")
+    return rows.select(
+        log,
+        rotation,
+        (F.col("__at") + 1).cast("long").alias("seq"),
+        *[F.col(f"__row.__events.{c}").alias(c) for c in order],
+        F.col("__row.__events.__payload").alias(payload),
+        F.col("__row.__before").alias("prev_hash"),
+        F.col("__row.__hashes").alias("hash"),
     )
 
+
+def audit_chain_verify(entries: DataFrame, log: str, rotation: str, order: list[str], payload: str) -> DataFrame:
+    """Whether each event's hash fits its payload and prev_hash, and its link fits the event or rotation before."""
+    anchors = _rotations(entries, log, rotation, order, payload).select(log, rotation, "__anchor")
+    before = F.lag("hash").over(Window.partitionBy(log, rotation).orderBy(*order))
+    return (
+        entries.join(anchors, [log, rotation])
+        .withColumn("hash_ok", F.coalesce(F.col("hash") == _link(F.col("prev_hash"), F.col(payload)), F.lit(False)))
+        .withColumn("link_ok", F.col("prev_hash").eqNullSafe(F.coalesce(before, "__anchor")))
+        .drop("__anchor")
+    )

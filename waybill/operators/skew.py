@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def heavy_keys(df: DataFrame, key: str, share: int = 200) -> DataFrame:
     """Keys that hold more than 1/``share`` of the rows: at most ``share`` rows by counting."""
     counts = df.groupBy(key).agg(F.count("*").alias("__n"))
-    total = df.select(F.count("*").alias("n")).scalar()
+    total = counts.agg(F.sum("__n").alias("n")).scalar()  # from the counts, so the rows are not read again
     return counts.where(F.col("__n") * share > total).select(F.col(key).alias("__heavy"))
 
 
@@ -17,7 +17,8 @@ def skew_join(facts: DataFrame, dims: DataFrame, key: str, how: str = "inner", s
     """Join facts to a table with one row per ``key`` (``how``: inner or left).
 
     Rows of a heavy key are spread over ``salts`` partitions and only the matching rows of
-    ``dims`` are repeated; the list of heavy keys is bounded, so it may be broadcast.
+    ``dims`` are repeated; the list of heavy keys is bounded, so it may be broadcast. Rows without a key
+    match nothing and are spread too.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"skew_join supports inner and left, not {how}")
@@ -25,7 +26,7 @@ def skew_join(facts: DataFrame, dims: DataFrame, key: str, how: str = "inner", s
     spread = F.pmod(F.xxhash64(*[c for c in facts.columns]), F.lit(salts)).cast("int")
     left = (
         facts.join(heavy, F.col(key) == F.col("__heavy"), "left")
-        .withColumn("__salt", F.when(F.col("__heavy").isNotNull(), spread).otherwise(F.lit(0)))
+        .withColumn("__salt", F.when(F.col("__heavy").isNotNull() | F.col(key).isNull(), spread).otherwise(F.lit(0)))
         .drop("__heavy")
     )
     copies = F.when(F.col("__heavy").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -53,34 +53,43 @@ def _(t):
 
 
 def _tampered_log(t):
-    """A stored audit log in which some hashes and some links were changed afterwards."""
-    log = audit.chained_log(t.audit_payload.select("log_id", "ts", "event_id", "payload"), "log_id", ["ts", "event_id"], "payload")
-    forged = F.sha2(F.lit("forged"), 256)
-    changed = log.withColumn("hash", F.when(F.col("event_id") % 997 == 5, forged).otherwise(F.col("hash"))).withColumn(
-        "prev_hash", F.when(F.col("event_id") % 991 == 7, forged).otherwise(F.col("prev_hash"))
+    """A stored chain in which some payloads, hashes and links were changed afterwards."""
+    log = audit.running_hash_chain(t.audit_payload, "log_id", "day", ["ts", "event_id"], "payload")
+    forged, number = F.sha2(F.lit("forged"), 256), F.col("event_id")
+    changed = log.withColumns(
+        {
+            "payload": F.when(number % 983 == 11, F.concat("payload", F.lit("0"))).otherwise(F.col("payload")),
+            "hash": F.when(number % 997 == 5, forged).otherwise(F.col("hash")),
+            "prev_hash": F.when(number % 991 == 7, forged).otherwise(F.col("prev_hash")),
+        }
     )
     return writes.written(changed, fresh_dir(t.spark, "audit-log"))
 
 
-@query("audit_chain_verify", """
-    WITH h AS (SELECT *, sha256(payload) AS good FROM {audit_payload}),
-    l AS (SELECT *, lag(good) OVER (PARTITION BY log_id ORDER BY ts, event_id) AS good_prev FROM h),
-    x AS (SELECT *, CASE WHEN event_id % 997 = 5 THEN sha256('forged') ELSE good END AS hash, CASE WHEN event_id % 991 = 7 THEN sha256('forged') ELSE good_prev END AS prev_hash FROM l)
-    SELECT log_id, ts, event_id, payload, hash, prev_hash, hash = good AS hash_ok,
-           prev_hash IS NOT DISTINCT FROM lag(hash) OVER (PARTITION BY log_id ORDER BY ts, event_id) AS link_ok FROM x""")
+# the chain, event after event: rotations are days, each begins with the digest of the day before
+CHAIN = """n AS (SELECT log_id, day, ts, event_id, payload, row_number() OVER (PARTITION BY log_id, day ORDER BY ts, event_id) AS seq FROM {audit_payload}),
+    g AS (SELECT log_id, day, sha256(string_agg(sha256(payload), '' ORDER BY seq)) AS digest FROM n GROUP BY 1, 2),
+    a AS (SELECT log_id, day, sha256('log|' || log_id || '|' || day || '|' || coalesce(lag(digest) OVER (PARTITION BY log_id ORDER BY day), '')) AS anchor FROM g),
+    r AS (SELECT n.*, anchor AS prev_hash, sha256(anchor || '|' || payload) AS hash FROM n JOIN a USING (log_id, day) WHERE seq = 1
+          UNION ALL SELECT n.*, r.hash, sha256(r.hash || '|' || n.payload) FROM r JOIN n ON n.log_id = r.log_id AND n.day = r.day AND n.seq = r.seq + 1)"""
+
+
+@query("audit_chain_verify", f"""
+    WITH RECURSIVE {CHAIN},
+    x AS (SELECT log_id, day, seq, ts, event_id, CASE WHEN event_id % 983 = 11 THEN payload || '0' ELSE payload END AS payload,
+                 CASE WHEN event_id % 991 = 7 THEN sha256('forged') ELSE prev_hash END AS prev_hash,
+                 CASE WHEN event_id % 997 = 5 THEN sha256('forged') ELSE hash END AS hash FROM r),
+    h AS (SELECT log_id, day, sha256(string_agg(sha256(payload), '' ORDER BY seq)) AS digest FROM x GROUP BY 1, 2),
+    b AS (SELECT log_id, day, sha256('log|' || log_id || '|' || day || '|' || coalesce(lag(digest) OVER (PARTITION BY log_id ORDER BY day), '')) AS anchor FROM h)
+    SELECT x.*, hash = sha256(prev_hash || '|' || payload) AS hash_ok,
+           prev_hash = coalesce(lag(hash) OVER (PARTITION BY log_id, day ORDER BY ts, event_id), anchor) AS link_ok FROM x JOIN b USING (log_id, day)""")
 def _(t):
-    return audit.audit_chain_verify(_tampered_log(t), "log_id", ["ts", "event_id"], "payload")
+    return audit.audit_chain_verify(_tampered_log(t), "log_id", "day", ["ts", "event_id"], "payload")
 
 
-@query("running_hash_chain", """
-    WITH RECURSIVE n AS (SELECT log_id, payload, row_number() OVER (PARTITION BY log_id ORDER BY ts, event_id) AS seq FROM {audit_payload}),
-    g AS (SELECT log_id, (seq - 1) // 1000 AS segment, sha256(string_agg(sha256(payload), '' ORDER BY seq)) AS digest FROM n GROUP BY 1, 2),
-    s AS (SELECT n.*, coalesce(digest, sha256('log ' || n.log_id)) AS anchor FROM n LEFT JOIN g ON g.log_id = n.log_id AND g.segment = (seq - 1) // 1000 - 1 WHERE (seq - 1) % 1000 = 0),
-    r AS (SELECT log_id, seq, payload, anchor AS prev_hash, sha256(anchor || '|' || payload) AS hash FROM s
-          UNION ALL SELECT n.log_id, n.seq, n.payload, r.hash, sha256(r.hash || '|' || n.payload) FROM r JOIN n ON n.log_id = r.log_id AND n.seq = r.seq + 1 WHERE (n.seq - 1) % 1000 <> 0)
-    SELECT * FROM r""")
+@query("running_hash_chain", f"WITH RECURSIVE {CHAIN} SELECT log_id, day, seq, ts, event_id, payload, prev_hash, hash FROM r")
 def _(t):
-    return audit.running_hash_chain(t.audit_payload, "log_id", ["ts", "event_id"], "payload")
+    return audit.running_hash_chain(t.audit_payload, "log_id", "day", ["ts", "event_id"], "payload")
 
 
 ROLES = {

@@ -244,7 +244,7 @@ DERIVED: dict[str, str] = {
                database_name, schema_name, object_type, object_name, owner, comment, definition, column_count, is_secure
         FROM {catalog_envs} WHERE environment IN ('dev', 'staging')""",
     "audit_payload": """
-        SELECT user_id AS log_id, ts, event_id, event_type,
+        SELECT user_id % 5 AS log_id, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS day, ts, event_id, event_type,
                CAST(event_id AS VARCHAR(20)) || '|' || CAST(user_id AS VARCHAR(20)) || '|' || event_type || '|'
                  || CAST(CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) AS VARCHAR(20)) AS payload
         FROM {events}""",
@@ -254,7 +254,7 @@ DERIVED: dict[str, str] = {
                CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'env-' || CASE WHEN event_id % 2 = 0 THEN 'prod' ELSE 'dev' END END AS environment
         FROM {events}""",
     "dep_edges": """
-        SELECT o_orderkey AS child_id, o_orderkey * 7 % 100003 AS parent_id FROM {orders} WHERE o_orderkey % 2 = 0""",
+        SELECT o_orderkey AS child_id, o_orderkey + (o_custkey % 400) - 300 AS parent_id FROM {orders}""",
     "file_corpus": """
         SELECT doc_id, 'src/' || lang || '/file_' || doc_id || CASE doc_id % 12 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.yaml'
                  WHEN 3 THEN '.env' WHEN 4 THEN '.js' WHEN 5 THEN '_test.go' WHEN 6 THEN '.json' WHEN 7 THEN '.GO' ELSE '.txt' END AS path,

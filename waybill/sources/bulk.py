@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -57,14 +58,27 @@ class LoadError(RuntimeError):
 
 
 def parsed_rows(spark: SparkSession, path: str, schema: T.StructType, options: LoadOptions = LoadOptions()) -> DataFrame:
-    """CSV rows as text, their typed columns, the first conversion error, and the file they came from."""
+    """CSV rows as text, their typed columns, the first error, and the file they came from.
+
+    A row with too many or too few columns is an error, whatever its fields hold, and ``raw`` keeps its whole line.
+    """
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     rows = (
-        spark.read.schema(raw)
+        spark.read.schema(T.StructType([*raw, T.StructField("__line", T.StringType())]))
         .options(sep=options.field_delimiter, header=options.skip_header, quote=options.quote, escape=options.escape)
+        # without pruning Spark counts the columns of every row, also where a query needs only some of them
+        .options(columnNameOfCorruptRecord="__line", columnPruning=False)
         .csv(path)
     )
-    typed, problems = [], []
+    quoted = f"{re.escape(options.quote)}(?:[^{re.escape(options.quote)}{re.escape(options.escape)}]|{re.escape(options.escape)}.)*{re.escape(options.quote)}"
+    fields = F.regexp_count(F.regexp_replace("__line", quoted, ""), F.lit(re.escape(options.field_delimiter))) + 1
+    typed = []
+    problems = [
+        F.when(
+            F.col("__line").isNotNull(),
+            F.concat(F.lit("too "), F.when(fields > len(raw), "many").otherwise("few"), F.lit(" columns: "), fields, F.lit(f" instead of {len(raw)}")),
+        )
+    ]
     for f in schema:
         kind = f.dataType.simpleString()
         c = F.col(f.name)
@@ -74,7 +88,7 @@ def parsed_rows(spark: SparkSession, path: str, schema: T.StructType, options: L
     return rows.select(
         *typed,
         F.coalesce(*problems).alias("error"),
-        F.to_json(F.struct(*raw.names)).alias("raw"),
+        F.to_json(F.struct(*raw.names, F.col("__line").alias("line"))).alias("raw"),
         F.col("_metadata.file_path").alias("file"),
     )
 
