@@ -80,6 +80,29 @@ def test_change_feed(spark, tables):
     assert rows(got, "k", "v") == [("1", "a2"), ("2", "b2"), ("3", "c")]
 
 
+def test_change_feed_goes_on_after_a_restart(spark, tables):
+    base = spark.createDataFrame([(k, "a") for k in range(40)], "k long, v string")
+    one = spark.createDataFrame([("update", 1, 1, "b"), ("delete", 2, 2, None)], "change string, seq int, k long, v string")
+    two = spark.createDataFrame([("delete", 3, k, None) for k in range(30)] + [("insert", 4, 99, "new")], one.schema)
+    path, root = fresh_dir(spark, "feed"), fresh_dir(spark, "cdc")
+    run = lambda: rows(jobs.apply_changes(file_stream(spark, path, one.schema), base, "k", root, buckets=8), "k", "v")
+    one.write.mode("append").parquet(path)
+    first = sorted([("1", "b")] + [(str(k), "a") for k in range(40) if k not in (1, 2)])
+    assert run() == first
+    assert run() == first  # nothing new: the image after the last batch, not the base
+    two.write.mode("append").parquet(path)
+    assert run() == sorted([("99", "new")] + [(str(k), "a") for k in range(30, 40)])
+
+
+def test_late_rows_of_all_batches_are_counted(spark, tables):
+    """Spark remembers the progress of so many batches only; the count does not depend on that."""
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 1)
+    try:
+        test_late_rows_are_dropped(spark, tables)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
 def test_stream_insert_repeats_nothing(spark, tables):
     stream = arrivals(spark, tables.events)
     root = fresh_dir(spark, "insert")

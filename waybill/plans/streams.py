@@ -13,14 +13,26 @@ from waybill.streaming import jobs
 from waybill.streaming.runner import file_stream
 
 
-def _events(t):
-    """The events files as a stream; the pattern serves a single file and a folder of files."""
-    return file_stream(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema)
+DELIVERIES = 3
 
 
-def _log(t):
-    """The query log over the event stream."""
-    return t.spark.sql(_dialect(DERIVED["query_log"], 0), events=_events(t))
+def _delivered(t, table, job, cut=None):
+    """Run a job each time another part of a table has been delivered as files; the result after the last run.
+
+    ``cut`` gives the delivery of a row; without it the days of January 2024 are dealt in order.
+    """
+    root = fresh_dir(t.spark, "stream")
+    days = F.datediff(F.col("ts").cast("date"), F.expr("DATE '2024-01-01'"))
+    cut = F.least(F.lit(DELIVERIES - 1), F.floor(days * DELIVERIES / 31)).cast("int") if cut is None else cut
+    for i in range(DELIVERIES):
+        table.where(cut == i).write.mode("append").parquet(f"{root}/in")
+        result = job(file_stream(t.spark, f"{root}/in", table.schema), f"{root}/job")
+    return result
+
+
+def _log(t, events):
+    """The query log over a stream of events."""
+    return t.spark.sql(_dialect(DERIVED["query_log"], 0), events=events)
 
 
 SLIDING = f"""
@@ -30,7 +42,7 @@ SLIDING = f"""
 
 @query("query_metrics_sliding", SLIDING)
 def _(t):
-    return jobs.sliding_query_metrics(_log(t), fresh_dir(t.spark, "sliding"))
+    return _delivered(t, t.events, lambda events, root: jobs.sliding_query_metrics(_log(t, events), root))
 
 
 @query("query_metrics_sliding_batch", f"""SELECT window_start, total_queries, succeeded, avg_exec_s, max_exec_s, bytes_scanned, credits FROM ({SLIDING.strip()})""")
@@ -43,7 +55,7 @@ TUMBLING = f"SELECT time_bucket(INTERVAL 1 DAY, start_time) AS window_start, war
 
 @query("credits_tumbling", TUMBLING)
 def _(t):
-    return jobs.tumbling_credits(_log(t), fresh_dir(t.spark, "credits"))
+    return _delivered(t, t.events, lambda events, root: jobs.tumbling_credits(_log(t, events), root))
 
 
 @query("credits_tumbling_batch", TUMBLING)
@@ -58,7 +70,7 @@ def _(t):
            count(*) FILTER (event_type = 'purchase') > 0 AS conversion
     FROM n GROUP BY user_id, s HAVING max(ts) + INTERVAL 360 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""")
 def _(t):
-    return jobs.closed_sessions(_events(t), fresh_dir(t.spark, "sessions"), "360 minutes", "1 hour")
+    return _delivered(t, t.events, lambda events, root: jobs.closed_sessions(events, root, "360 minutes", "1 hour"))
 
 
 @query("watermark_retention", """
@@ -81,7 +93,7 @@ def _(t):
 
 @query("stream_insert", "SELECT * FROM events")
 def _(t):
-    return jobs.stream_insert(_events(t), fresh_dir(t.spark, "insert"))
+    return _delivered(t, t.events, jobs.stream_insert)
 
 
 @query("pipe_ingest", """
@@ -113,26 +125,61 @@ def _(t):
     return loaded.withColumn("outcome", F.lit("loaded")).unionByName(bad)
 
 
-@query("alert_cooldown", f"""WITH RECURSIVE {ALERTS},
+COOLDOWN = f"""WITH RECURSIVE {ALERTS},
     o AS (SELECT alert_type, start_time, min(event_id) AS event_id FROM a GROUP BY 1, 2),
     f AS (SELECT alert_type, min(start_time) AS start_time FROM o GROUP BY 1
           UNION ALL
           SELECT f.alert_type, min(o.start_time) FROM f JOIN o ON o.alert_type = f.alert_type AND o.start_time >= f.start_time + INTERVAL 6 HOUR GROUP BY f.alert_type)
-    SELECT f.alert_type, f.start_time, o.event_id FROM f JOIN o ON o.alert_type = f.alert_type AND o.start_time = f.start_time""")
+    SELECT f.alert_type, f.start_time, o.event_id FROM f JOIN o ON o.alert_type = f.alert_type AND o.start_time = f.start_time"""
+
+
+@query("alert_cooldown", COOLDOWN)
 def _(t):
     alerts = monitor.alerts_threshold(t.query_log, slow_s=224)
     return cooldown.cooldown_fires(alerts, "alert_type", "start_time", "event_id", 6 * 3600)
 
 
+@query("alert_cooldown_stream", COOLDOWN)
+def _(t):
+    def job(events, root):
+        alerts = monitor.alerts_threshold(_log(t, events), slow_s=224)
+        return jobs.cooldown_alerts(alerts, root, "alert_type", "start_time", "event_id", 6 * 3600)
+
+    return _delivered(t, t.events, job)
+
+
+@query("error_rate_alert_stream", """
+    SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed,
+           CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) AS error_rate
+    FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 0.2 * count(*)""")
+def _(t):
+    failed = F.col("event_type") == "error"
+    return _delivered(t, t.events, lambda events, root: jobs.error_rate_windows(events, root, "ts", "1 day", failed, 0.2))
+
+
+@query("cdc_feed", """
+    WITH f AS (SELECT o_orderkey % 5000 AS k, o_orderkey AS seq, o_totalprice AS v, CASE WHEN o_orderkey % 7 = 0 THEN 'delete' ELSE 'update' END AS change,
+                      o_orderkey % 3 AS delivery FROM orders),
+    l AS (SELECT k, arg_max(v, (delivery, seq)) AS v, arg_max(change, (delivery, seq)) AS change FROM f GROUP BY k)
+    SELECT coalesce(l.k, c_custkey) AS k, coalesce(l.v, c_acctbal) AS v FROM l FULL JOIN customer ON c_custkey = l.k WHERE change IS NULL OR change = 'update'""")
+def _(t):
+    feed = t.orders.select(
+        (F.col("o_orderkey") % 5000).alias("k"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("v"),
+        F.when(F.col("o_orderkey") % 7 == 0, "delete").otherwise("update").alias("change"), (F.col("o_orderkey") % 3).alias("delivery"),
+    )
+    base = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return _delivered(t, feed, lambda changes, root: jobs.apply_changes(changes.drop("delivery"), base, "k", root), F.col("delivery"))
+
+
 @query("running_metric_state", """
     SELECT event_type, count(*) AS count, min(value) AS min_value, max(value) AS max_value, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_value FROM events GROUP BY 1""")
 def _(t):
-    return jobs.running_metrics(_events(t), fresh_dir(t.spark, "metrics"), "event_type", "value")
+    return _delivered(t, t.events, lambda events, root: jobs.running_metrics(events, root, "event_type", "value"))
 
 
 @query("heartbeat_dedup", "SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events")
 def _(t):
-    return jobs.daily_heartbeats(_events(t), fresh_dir(t.spark, "heartbeats"), "user_id", "ts")
+    return _delivered(t, t.events, lambda events, root: jobs.daily_heartbeats(events, root, "user_id", "ts"))
 
 
 @query("heartbeat_dedup_batch", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 from waybill.operators.cooldown import cooldown_fires_after
 from waybill.operators.monitor import query_log_aggregates
 from waybill.operators.writes import upserted
-from waybill.streaming.runner import as_instant, as_zone_free, batch_folder, latest_rows, run_to_end, sink_rows
+from waybill.streaming.runner import as_instant, as_zone_free, batch_folder, late_rows, latest_rows, run_to_end, sink_rows
 
 
 def _instants(stream: DataFrame, ts: str) -> DataFrame:
@@ -75,9 +76,9 @@ def hourly_counts_with_retention(events: DataFrame, root: str, keep: str = "24 h
         .agg(F.count("*").alias("n"))
         .select(as_zone_free(F.col("w.start")).alias("window_start"), "n")
     )
-    query = run_to_end(counts, root, "update")
-    dropped = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
-    return latest_rows(events.sparkSession, root, ["window_start"]), dropped
+    with late_rows(events.sparkSession) as late:
+        query = run_to_end(counts, root, "update")
+    return latest_rows(events.sparkSession, root, ["window_start"]), late(query)
 
 
 def stream_insert(rows: DataFrame, root: str) -> DataFrame:
@@ -113,28 +114,47 @@ def pipe_ingest(lines: DataFrame, root: str, fields: dict[str, tuple[str, str]],
     return sink_rows(spark, root, "loaded").drop("batch"), sink_rows(spark, root, "rejected").drop("batch")
 
 
-def apply_changes(feed: DataFrame, base: DataFrame, key: str, root: str) -> DataFrame:
-    """Apply a change feed (``change``, ``seq``, key, columns) to a table; each micro-batch makes a new image.
+def apply_changes(feed: DataFrame, base: DataFrame, key: str, root: str, buckets: int = 64) -> DataFrame:
+    """Apply a change feed (``change``, ``seq``, key, columns) to a table; returns the image after all changes.
 
-    Within a batch the change with the highest ``seq`` wins per key. Returns the final image.
+    The image lies in ``buckets`` folders by key hash, each in versions; a micro-batch writes a new version of the buckets that it
+    touches. Within a batch the change with the highest ``seq`` wins per key. Called again with the same ``root`` the job goes
+    on where it ended; a batch that is repeated starts from the versions before it.
     """
-    spark = base.sparkSession
-    columns = base.columns
-    base.write.parquet(f"{root}/image/version=0")
-    versions = {"last": 0}
+    spark, columns, path = base.sparkSession, base.columns, f"{root}/image"
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("__bucket")
+    schema = T.StructType([*base.schema, T.StructField("__live", T.BooleanType()), T.StructField("__bucket", T.IntegerType()), T.StructField("__version", T.LongType())])
+
+    def put(rows: DataFrame, version: int) -> None:
+        writer = rows.withColumn("__version", F.lit(version)).write.partitionBy("__bucket", "__version")
+        writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+    def image(upto: int | None = None) -> DataFrame:
+        rows = spark.read.schema(schema).parquet(path)
+        rows = rows if upto is None else rows.where(F.col("__version") <= upto)
+        newest = rows.groupBy("__bucket").agg(F.max("__version").alias("__version"))  # a row per bucket
+        return rows.join(F.broadcast(newest), ["__bucket", "__version"]).where("__live").select(*columns, "__bucket")
 
     def write(changes: DataFrame, batch: int) -> None:
         rest = [c for c in changes.columns if c != key]
         latest = changes.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(key, "r.*").persist()
-        image = spark.read.parquet(f"{root}/image/version={batch}")
-        kept = image.join(latest.where("change = 'delete'").select(key), key, "left_anti").select(*columns)
+        touched = latest.select(bucket).distinct()  # a row per bucket at most
+        old = image(batch).join(F.broadcast(touched), "__bucket").select(*columns)
+        kept = old.join(latest.where("change = 'delete'").select(key), key, "left_anti").select(*columns)
         merged = upserted(kept, latest.where("change <> 'delete'").select(*columns), key)
-        merged.write.mode("overwrite").parquet(f"{root}/image/version={batch + 1}")
+        # a row that is not live in each touched bucket: a bucket whose rows were all deleted has a new version too
+        empty = touched.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema], F.lit(False).alias("__live"), "__bucket")
+        put(merged.select(*columns, F.lit(True).alias("__live"), bucket).unionByName(empty), batch + 1)
         latest.unpersist()
-        versions["last"] = batch + 1
 
+    started = f"{root}/started"
+    try:
+        spark.read.schema("id long").parquet(started)
+    except AnalysisException:  # the first start: no such folder
+        put(base.select(*columns, F.lit(True).alias("__live"), bucket), 0)
+        spark.range(1).write.parquet(started)
     run_to_end(feed, root, write=write)
-    return spark.read.parquet(f"{root}/image/version={versions['last']}")
+    return image().select(*columns)
 
 
 def cooldown_alerts(alerts: DataFrame, root: str, rule: str, ts: str, ident: str, seconds: int) -> DataFrame:

@@ -6,12 +6,15 @@ from the checkpoint never doubles rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import threading
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
@@ -60,6 +63,44 @@ def run_to_end(stream: DataFrame, root: str, mode: str = "append", write: Callab
     return query
 
 
+class _LateRows(StreamingQueryListener):
+    """Adds up the rows that watermarks dropped, over all micro-batches; a query itself remembers its last hundred only."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        late = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+        self.dropped[run] = self.dropped.get(run, 0) + late
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+
+@contextmanager
+def late_rows(spark: SparkSession) -> Iterator[Callable[[StreamingQuery], int]]:
+    """Within the block late rows are counted; what it gives tells the count of a query that has ended."""
+    listener = _LateRows()
+    spark.streams.addListener(listener)
+
+    def count(query: StreamingQuery) -> int:
+        # progress comes in order before the end, but both come after awaitTermination returns
+        if not listener.ended[str(query.runId)].wait(60):
+            raise TimeoutError(f"no end of query {query.id} was reported")
+        spark.streams.removeListener(listener)
+        return listener.dropped.get(str(query.runId), 0)
+
+    yield count
+
+
 def sink_rows(spark: SparkSession, root: str, name: str = "data") -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
