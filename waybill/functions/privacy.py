@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 REDACTED = "[REDACTED]"
 
-# fixed values: what counts as personal or secret text, in the order of replacement
+# fixed values: what counts as personal or secret text, in the order of replacement; home_path also stops at white
+# space and knows backslashes, so that it ends with the user's name
 PATTERNS = {
     "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
     "ipv4": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",

@@ -19,6 +19,9 @@ PROPERTIES = {
     "Definition": "definition",
     "ColumnCount": "column_count",
     "IsSecure": "is_secure",
+    "IsMaterialized": "is_materialized",
+    "Language": "language",
+    "ReturnType": "return_type",
 }
 # fixed values: order in which object types are changed
 TYPE_ORDER = ["SEQUENCE", "FILE_FORMAT", "STAGE", "TABLE", "VIEW", "FUNCTION", "PROCEDURE", "STREAM", "PIPE", "TASK"]
@@ -44,8 +47,10 @@ def details_of(properties: Mapping[str, str], old: str, new: str) -> Column:
 def catalog_diff(source: DataFrame, target: DataFrame, properties: Mapping[str, str] = PROPERTIES) -> DataFrame:
     """Full outer difference by object: only in source REMOVED, only in target ADDED, else MODIFIED.
 
-    Object keys are unique on each side. ``source`` and ``target`` keep the whole objects.
+    Object keys are unique on each side. ``source`` and ``target`` keep the whole objects. Properties whose column
+    is not in both catalogs are not compared.
     """
+    properties = {p: c for p, c in properties.items() if c in source.columns and c in target.columns}
     a = source.select(*KEY, F.struct(*properties.values()).alias("source"))
     b = target.select(*KEY, F.struct(*properties.values()).alias("target"))
     both = a.join(b, KEY, "full_outer").withColumn("__details", details_of(properties, "source", "target"))

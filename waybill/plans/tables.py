@@ -63,6 +63,7 @@ STATEMENTS = [
     "SELECT x FROM (SELECT DISTINCT x FROM t) /* inner\n block */ WHERE x > 1",
     "SELECT c_name FROM customer WHERE c_name LIKE ''Cust%''",
     "SELECT  o_orderkey -- key only\nFROM   orders LIMIT 5",
+    f"SELECT c_name FROM customer WHERE c_custkey IN ({', '.join(str(k) for k in range(1000, 1250))})",
 ]
 ERRORS = [
     "Connection reset by peer",
@@ -214,7 +215,9 @@ DERIVED: dict[str, str] = {
                  || p_partkey || CASE WHEN p_partkey % 41 = 0 THEN '_BACKUP' ELSE '' END AS object_name,
                'USER' || (p_size % 4) AS owner, p_brand AS comment,
                'create ' || p_name || '  as select 1 -- ' || p_brand || chr(10) || 'from t' AS definition,
-               CAST(p_size AS VARCHAR(9)) AS column_count, 'false' AS is_secure, p_partkey
+               CAST(p_size AS VARCHAR(9)) AS column_count, 'false' AS is_secure,
+               CASE WHEN p_partkey % 6 = 1 THEN 'false' END AS is_materialized, CASE WHEN p_partkey % 6 = 3 THEN 'SQL' END AS language,
+               CASE WHEN p_partkey % 6 = 3 THEN 'NUMBER' END AS return_type, p_partkey
         FROM {part} WHERE p_partkey % 10 <> 3""",
     "catalog_tgt": """
         SELECT 'staging' AS environment, 'DB1' AS database_name, 'S_' || (p_partkey % 3) AS schema_name,
@@ -229,19 +232,23 @@ DERIVED: dict[str, str] = {
                     WHEN p_partkey % 23 = 0 THEN ''
                     ELSE 'CREATE ' || p_name || ' as select  1 -- ' || p_brand || chr(10) || 'from t' END AS definition,
                CAST(CASE WHEN p_partkey % 29 = 0 THEN p_size + 1 ELSE p_size END AS VARCHAR(9)) AS column_count,
-               'false' AS is_secure, p_partkey
+               CASE WHEN p_partkey % 25 = 7 THEN 'true' ELSE 'false' END AS is_secure,
+               CASE WHEN p_partkey % 6 = 1 THEN CASE WHEN p_partkey % 35 = 1 THEN 'true' ELSE 'false' END END AS is_materialized,
+               CASE WHEN p_partkey % 6 = 3 THEN CASE WHEN p_partkey % 45 = 0 THEN 'PYTHON' ELSE 'SQL' END END AS language,
+               CASE WHEN p_partkey % 6 = 3 THEN CASE WHEN p_partkey % 35 = 2 THEN NULL ELSE 'NUMBER' END END AS return_type, p_partkey
         FROM {part} WHERE p_partkey % 9 <> 4""",
     "catalog_envs": """
-        SELECT environment, database_name, schema_name, object_type, object_name, owner, comment, definition, column_count, is_secure FROM {catalog_src}
+        SELECT environment, database_name, schema_name, object_type, object_name, owner, comment, definition, column_count, is_secure, is_materialized, language, return_type FROM {catalog_src}
         UNION ALL
-        SELECT environment, database_name, schema_name, object_type, object_name, owner, comment, definition, column_count, is_secure FROM {catalog_tgt}
+        SELECT environment, database_name, schema_name, object_type, object_name, owner, comment, definition, column_count, is_secure, is_materialized, language, return_type FROM {catalog_tgt}
         UNION ALL
-        SELECT 'prod', database_name, schema_name, object_type, object_name, owner, comment, definition, column_count, is_secure FROM {catalog_src}
+        SELECT 'prod', database_name, schema_name, object_type, object_name, owner, comment, definition, column_count, is_secure, is_materialized, language, return_type FROM {catalog_src}
         WHERE object_name NOT LIKE 'TEMP%'""",
     "catalog_versions": """
         SELECT environment AS source_environment, CASE WHEN environment = 'dev' THEN 1 ELSE 2 END AS version,
                CASE WHEN environment = 'dev' THEN CAST('2024-01-01 00:00:00' AS @TS) ELSE CAST('2024-01-02 00:00:00' AS @TS) END AS captured_at,
-               database_name, schema_name, object_type, object_name, owner, comment, definition, column_count, is_secure
+               database_name, schema_name, object_type, object_name, owner, comment, definition, column_count, is_secure,
+               is_materialized, language, return_type
         FROM {catalog_envs} WHERE environment IN ('dev', 'staging')""",
     "audit_payload": """
         SELECT user_id % 5 AS log_id, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS day, ts, event_id, event_type,
