@@ -182,14 +182,15 @@ def load_rate(log: DataFrame) -> DataFrame:
 
 
 def usage_stats(events: DataFrame, parts: Mapping[str, Column], user: str) -> DataFrame:
-    """Counts by category and name in one pass, plus events and distinct users overall."""
+    """Counts by category and name and of all events in one pass, plus distinct users overall."""
+    parts = {**parts, "events": F.lit("total")}
     tags = F.array_compact(
         F.array(*[F.when(c.isNotNull(), F.struct(F.lit(k).alias("category"), c.alias("name"))) for k, c in parts.items()])
     )
     by_name = events.select(F.explode(tags).alias("t")).groupBy("t.category", "t.name").agg(F.count("*").alias("n"))
     users = events.agg(F.count_distinct(user).alias("n")).select(F.lit("users").alias("category"), F.lit("unique").alias("name"), "n")
-    events_total = events.agg(F.count("*").alias("n")).select(F.lit("events").alias("category"), F.lit("total").alias("name"), "n")
-    return by_name.unionByName(users).unionByName(events_total)
+    none = events.sparkSession.range(1).select(F.lit("events").alias("category"), F.lit("total").alias("name"), F.lit(0).cast("long").alias("n"))
+    return by_name.unionByName(none).groupBy("category", "name").agg(F.sum("n").alias("n")).unionByName(users)
 
 
 def error_rate(events: DataFrame, failed: Column) -> DataFrame:
@@ -201,14 +202,15 @@ def error_rate(events: DataFrame, failed: Column) -> DataFrame:
 
 
 def error_summary(errors: DataFrame, last: int = 10) -> DataFrame:
-    """Errors by severity and by code, their total, and the last entries, as tagged rows."""
-    tagged = lambda df, section, name: df.select(F.lit(section).alias("section"), name.alias("name"), "n")
-    by_severity = tagged(errors.groupBy("severity").agg(F.count("*").alias("n")), "severity", F.col("severity"))
-    by_code = tagged(errors.groupBy("code").agg(F.count("*").alias("n")), "code", F.col("code"))
-    overall = tagged(errors.agg(F.count("*").alias("n")), "total", F.lit("all"))
+    """Errors by severity, by code and in all, counted in one pass, and the last entries, as tagged rows."""
+    sections = {"severity": F.col("severity"), "code": F.col("code"), "total": F.lit("all")}
+    tags = F.array(*[F.struct(F.lit(k).alias("section"), c.cast("string").alias("name")) for k, c in sections.items()])
+    counted = errors.select(F.explode(tags).alias("t")).groupBy("t.section", "t.name").agg(F.count("*").alias("n"))
+    none = errors.sparkSession.range(1).select(F.lit("total").alias("section"), F.lit("all").alias("name"), F.lit(0).cast("long").alias("n"))
+    counted = counted.unionByName(none).groupBy("section", "name").agg(F.sum("n").alias("n"))
     newest = errors.orderBy(F.desc("ts"), F.desc("event_id")).limit(last)
     recent = newest.select(F.lit("recent").alias("section"), F.col("message").alias("name"), F.col("event_id").alias("n"))
-    return reduce(DataFrame.unionByName, [by_severity, by_code, overall, recent])
+    return counted.unionByName(recent)
 
 
 def deployment_kpis(deployments: DataFrame, log: DataFrame, as_of: Column, hours: int = 6) -> DataFrame:

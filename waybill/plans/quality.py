@@ -39,7 +39,7 @@ def _profile_sql() -> str:
             shown = f"CAST(CAST({{f}}({c}) AS DECIMAL(38,2)) AS VARCHAR)" if kind == "double" else f"CAST({{f}}({c}) AS VARCHAR)"
             value = f"CAST({c} AS DECIMAL(38,2))" if kind == "double" else c
             parts.append(
-                f"SELECT '{c}' AS column_name, '{table}' AS table_name, {i} AS position, '{kind}' AS data_type, count(*) AS row_count, "
+                f"SELECT '{c}' AS column_name, '{table}' AS table_name, {i} AS position, '{kind}' AS data_type, true AS nullable, count(*) AS row_count, "
                 f"count(*) FILTER ({c} IS NULL) AS nulls, {shown.replace('{f}', 'min')} AS min_value, {shown.replace('{f}', 'max')} AS max_value, "
                 f"count(DISTINCT {value}) AS distinct_values FROM {table}"
             )

@@ -18,10 +18,10 @@ def _text(c: Column, kind: str) -> Column:
 
 
 def table_profile(df: DataFrame, table: str, exact_distinct: bool = False) -> DataFrame:
-    """One row per column: position, type, rows, nulls, distinct values, smallest and greatest value.
+    """One row per column: position, type, whether it may be null, rows, nulls, distinct values, smallest and greatest value.
 
-    Distinct values are estimated in the same pass; ``exact_distinct`` counts them by value
-    instead, which shuffles the distinct values of each column.
+    Distinct values are estimated in the same pass; ``exact_distinct`` counts them by their text in one
+    more pass, which shuffles the distinct values of all columns.
     """
     fields = list(df.schema)
     aggs = [F.count("*").alias("n")]
@@ -36,6 +36,7 @@ def table_profile(df: DataFrame, table: str, exact_distinct: bool = False) -> Da
             "table_name": F.lit(table),
             "position": F.lit(i + 1),
             "data_type": F.lit(kind),
+            "nullable": F.lit(f.nullable),
             "row_count": F.col("n"),
             "nulls": F.col(f"n{i}"),
             "min_value": _text(F.col(f"lo{i}"), kind),
@@ -46,15 +47,14 @@ def table_profile(df: DataFrame, table: str, exact_distinct: bool = False) -> Da
     out = tall(df.agg(*aggs), "column_name", facts)
     if not exact_distinct:
         return out
-    # a branch per column reads that column alone and keeps its type
-    counted = reduce(
-        DataFrame.unionByName,
-        [
-            df.select(f.name).distinct().agg(F.count(f.name).alias("distinct_values")).select(F.lit(f.name).alias("column_name"), "distinct_values")
-            for f in fields
-        ],
+    # one pass for all columns: (column, value) pairs are made distinct before the shuffle and after it
+    pairs = df.select(F.posexplode(F.array(*[F.col(f.name).cast("string") for f in fields])).alias("at", "value"))
+    counted = pairs.where("value IS NOT NULL").distinct().groupBy("at").agg(F.count("value").alias("distinct_values"))
+    return (
+        out.join(counted, F.col("position") == F.col("at") + 1, "left")
+        .withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+        .drop("at")
     )
-    return out.join(counted, "column_name")
 
 
 def profiles(tables: Mapping[str, DataFrame], exact_distinct: bool = False) -> DataFrame:
