@@ -66,11 +66,13 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     columns of both tables play no part. Empty lists block nothing; no captures give no rows.
     """
     rows = captures.select("page_id", "url", "fetched_at")
-    last = rows.agg(F.max("fetched_at")).first()[0]
+    # as text, so that no time zone of the driver comes in
+    latest = rows.agg(F.max("fetched_at").cast("string")).first()[0]
+    last = F.lit(latest).cast(rows.schema["fetched_at"].dataType)
     held = validity(entries)
-    if last is not None:
-        ends = F.least(F.coalesce("valid_to", F.lit(last)), F.lit(last))
-        held = held.where(F.col("valid_from") <= F.lit(last)).withColumn(
+    if latest is not None:
+        ends = F.least(F.coalesce("valid_to", last), last)
+        held = held.where(F.col("valid_from") <= last).withColumn(
             "period", F.explode(F.sequence(_period(F.col("valid_from")), F.greatest(_period(ends), _period(F.col("valid_from")))))
         )
     else:
