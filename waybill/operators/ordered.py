@@ -4,7 +4,8 @@ putting a key's rows into one task.
 A window ``PARTITION BY key ORDER BY t`` sends every row of a key to one task, so one hot
 key decides the run time. Here each key's ordered rows are first cut into slices at
 approximate quantiles of the order column taken over the whole table; a slice therefore
-holds about 1/``slices`` of the *table* at most, however hot the key. A window runs inside
+holds about 1/``slices`` of the *table* at most, however hot the key. Unless it is given, ``slices``
+is the number of partitions that the session shuffles into, so slices shrink as a cluster is set up for more. A window runs inside
 (key, slice), and what has to cross a slice boundary (the last row, a subtotal) comes from
 a table with one row per (key, slice).
 
@@ -21,11 +22,15 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+SLICES = 64  # at least
 _S, _T = SLICE_COLUMNS = "__slice", "__tie"
 _TOTAL = "__total"
 
 
+def slice_count(df: DataFrame) -> int:
+    return max(SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _cut_points(df: DataFrame, columns: Sequence[str], slices: int) -> list[tuple[list[str], str]]:
     """Ascending cut points of each column as text, repeated where one value fills several steps, and their type.
 
@@ -65,11 +70,12 @@ def _position(cuts: Sequence[str], kind: str, value: Column) -> Column:
     )
 
 
-def sliced(df: DataFrame, order: Sequence[str], slices: int = SLICES, cuts_from: DataFrame | None = None) -> DataFrame:
+def sliced(df: DataFrame, order: Sequence[str], slices: int | None = None, cuts_from: DataFrame | None = None) -> DataFrame:
     """Add the slice of each row; (slice, tie) is monotone in ``order``.
 
     ``cuts_from`` may name a cheaper table with the same order columns to take the cut points from.
     """
+    slices = slices or slice_count(df)
     cuts = _cut_points(df if cuts_from is None else cuts_from, order[:2], slices)
     out = df.withColumn(_S, _position(*cuts[0], F.col(order[0])))
     values, kind = cuts[0]
@@ -103,7 +109,7 @@ def ordered_by_key(
     lead: Mapping[str, str] | None = None,
     running: Mapping[str, str] | None = None,
     last_known: Mapping[str, str] | None = None,
-    slices: int = SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """Window columns over ``PARTITION BY keys ORDER BY order``, each given as ``{output: source}``.
 
@@ -112,6 +118,7 @@ def ordered_by_key(
     All share one shuffle of the rows and one table of slice summaries.
     """
     lag, lead, running, last_known = lag or {}, lead or {}, running or {}, last_known or {}
+    slices = slices or slice_count(df)
     rows = sliced(df, order, slices)
     at = F.struct(*order)
     inside = Window.partitionBy(*keys, _S, _T).orderBy(*order)
@@ -147,14 +154,15 @@ def ordered_by_key(
     return join_slices(rows, edges, keys).select(*df.columns, *[c.alias(n) for n, c in result.items()])
 
 
-def row_number_by_key(df, keys: Sequence[str], order: Sequence[str], out: str, slices: int = SLICES) -> DataFrame:
+def row_number_by_key(df, keys: Sequence[str], order: Sequence[str], out: str, slices: int | None = None) -> DataFrame:
     """``row_number()`` per key; ``order`` must be unique within the key."""
     ones = df.withColumn("__one", F.lit(1).cast("long"))
     return ordered_by_key(ones, keys, order, running={out: "__one"}, slices=slices).drop("__one")
 
 
-def rank_by_key(df, keys: Sequence[str], order: Sequence[str], out: str, slices: int = SLICES) -> DataFrame:
+def rank_by_key(df, keys: Sequence[str], order: Sequence[str], out: str, slices: int | None = None) -> DataFrame:
     """``rank() OVER (PARTITION BY keys ORDER BY order[0])``; ``order[1]`` only spreads ties."""
+    slices = slices or slice_count(df)
     rows = sliced(df, order, slices)
     counts = rows.groupBy(*keys, _S, _T).agg(F.count("*").alias("__n"))
     by_slice = Window.partitionBy(*keys).orderBy(_S, _T).rowsBetween(Window.unboundedPreceding, -1)
@@ -176,7 +184,7 @@ def rank_by_key(df, keys: Sequence[str], order: Sequence[str], out: str, slices:
     )
 
 
-def values_at(df, keys: Sequence[str], value: str, picks: Mapping[str, Callable[[Column], Column]], slices: int = SLICES) -> DataFrame:
+def values_at(df, keys: Sequence[str], value: str, picks: Mapping[str, Callable[[Column], Column]], slices: int | None = None) -> DataFrame:
     """One row per key with its count (``__total``) and the values at zero-based positions of its sorted values.
 
     ``picks`` maps an output name to a function from the key's row count to a position.
@@ -186,6 +194,7 @@ def values_at(df, keys: Sequence[str], value: str, picks: Mapping[str, Callable[
     given = df.where(F.col(value).isNotNull())
     counts = given.groupBy(*keys, value).agg(F.count("*").alias("__n"))
     # a slice holds no more distinct values than rows, so cuts of the rows bound it as well
+    slices = slices or slice_count(df)
     rows = sliced(counts, [value], slices, cuts_from=given)
     per_slice = rows.groupBy(*keys, _S, _T).agg(F.sum("__n").alias("__m"))
     whole = Window.partitionBy(*keys)
@@ -215,7 +224,7 @@ def values_at(df, keys: Sequence[str], value: str, picks: Mapping[str, Callable[
     )
 
 
-def percentiles_cont(df, keys: Sequence[str], value: str, fractions: Mapping[str, float], slices: int = SLICES) -> DataFrame:
+def percentiles_cont(df, keys: Sequence[str], value: str, fractions: Mapping[str, float], slices: int | None = None) -> DataFrame:
     """Exact interpolated percentiles (``percentile_cont``) per key."""
     picks: dict[str, Callable[[Column], Column]] = {}
     for name, p in fractions.items():
@@ -230,7 +239,7 @@ def percentiles_cont(df, keys: Sequence[str], value: str, fractions: Mapping[str
     return found.select(*keys, *out)
 
 
-def percentiles_floor(df, keys: Sequence[str], value: str, points: Mapping[str, int], slices: int = SLICES) -> DataFrame:
+def percentiles_floor(df, keys: Sequence[str], value: str, points: Mapping[str, int], slices: int | None = None) -> DataFrame:
     """The value at position ``floor(p * n / 100)`` of the sorted values, clamped to the last."""
     picks = {
         name: (lambda n, p=p: F.least(F.floor(n * F.lit(p) / F.lit(100)), n - 1)) for name, p in points.items()
