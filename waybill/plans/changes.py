@@ -253,6 +253,23 @@ def _(t):
     return writes.written(operations, fresh_dir(t.spark, "sync"))
 
 
+@query("write_sync_image", "SELECT * FROM orders")
+def _(t):
+    operations = writes.written(writes.sync_operations(t.orders_target, t.orders, "o_orderkey"), fresh_dir(t.spark, "sync"))
+    return writes.written(writes.synced(operations), fresh_dir(t.spark, "image")).select(*t.orders.columns)
+
+
+@query("write_sync_counts", """
+    SELECT CASE WHEN t.o_orderkey IS NULL THEN 'INSERT' WHEN s.o_orderkey IS NULL THEN 'DELETE'
+                WHEN (s.o_custkey, s.o_orderstatus, s.o_totalprice, s.o_orderdate, s.o_orderpriority)
+                  IS DISTINCT FROM (t.o_custkey, t.o_orderstatus, t.o_totalprice, t.o_orderdate, t.o_orderpriority) THEN 'UPDATE' ELSE 'KEEP' END AS op,
+           count(*) AS operations
+    FROM orders s FULL OUTER JOIN {orders_target} t ON s.o_orderkey = t.o_orderkey GROUP BY 1""")
+def _(t):
+    operations = writes.sync_operations(t.orders_target, t.orders, "o_orderkey")
+    return operations.groupBy("op").agg(F.count("*").alias("operations"))
+
+
 @query("rollback_batch", "SELECT *, o_orderkey % 4 AS migration_id FROM orders WHERE o_orderkey % 4 <> 2")
 def _(t):
     loaded = t.orders.withColumn("migration_id", F.col("o_orderkey") % 4)

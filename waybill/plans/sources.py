@@ -74,17 +74,23 @@ def _(t):
     return bulk.load_audit(parsed.withColumn("stage", F.regexp_extract("file", r"(batch=\d+)", 1)), "stage")
 
 
-@query("external_raw_scan", "SELECT event_id, event_type, user_id, true AS numbered, true AS has_file FROM events")
+@query("external_raw_scan", """
+    SELECT event_id, event_type, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, true AS has_file,
+           row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS file_row_number
+    FROM events""")
 def _(t):
     path = fresh_dir(t.spark, "raw-events")
-    t.events.select("event_id", "event_type", "user_id").write.json(path)
+    # a file per day, its lines in the order of the events
+    days = t.events.select("event_id", "event_type", "user_id", F.col("ts").cast("date").cast("string").alias("day"))
+    days.repartition("day").sortWithinPartitions("day", "event_id").write.partitionBy("day").json(path)
     raw = bulk.external_raw_scan(t.spark, path)
     return raw.select(
         F.variant_get("event_data", "$.event_id", "bigint").alias("event_id"),
         F.variant_get("event_data", "$.event_type", "string").alias("event_type"),
         F.variant_get("event_data", "$.user_id", "bigint").alias("user_id"),
-        (F.col("file_row_number") >= 1).alias("numbered"),
+        F.regexp_extract("filename", r"day=([0-9-]+)", 1).alias("day"),
         F.col("filename").endswith(".json").alias("has_file"),
+        F.col("file_row_number").cast("long").alias("file_row_number"),
     )
 
 
