@@ -18,8 +18,8 @@ from waybill.llm.base import stored, word_count
 
 #: Words of a budget that the knapsack table covers.
 TABLE = 1 << 16
-#: Hash slices of a length among which the last one taken is looked for; only its documents are ranked.
-SLICES = 1 << 12
+#: The last document taken of a length is looked for by so many bits of its hash at a time, so often; then few are left to rank.
+BITS, LEVELS = 8, 2
 
 
 def water_level(sources: DataFrame, share: float, most: float) -> DataFrame:
@@ -171,9 +171,8 @@ def mixed(
 
 def _picks(facts: DataFrame, weights: tuple[float, ...], share: float, most: float, table: int) -> DataFrame:
     """Per source and size: source_size, target, rounds, and the hash up to which documents get one round more."""
-    slice_of = F.shiftright("pick", 65 - SLICES.bit_length())
     counts = stored(
-        facts.groupBy("source", "size", slice_of.alias("slice")).agg(F.count(F.lit(1)).alias("docs")), "mix-counts"
+        facts.groupBy("source", "size", _slice(1).alias("slice")).agg(F.count(F.lit(1)).alias("docs")), "mix-counts"
     )
     by_size = counts.groupBy("source", "size").agg(F.sum("docs").alias("docs"))
     sources = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("words"))
@@ -188,40 +187,50 @@ def _picks(facts: DataFrame, weights: tuple[float, ...], share: float, most: flo
         .applyInPandas(_fit(table), "source_id int, size long, rounds int, extra long")
     )
     fits = fits.join(targets, "source_id").withColumnRenamed("words", "source_size")
-    # the slice in which the last taken document of a length lies, and how many of that slice are taken
-    some = fits.where("extra > 0").select("source", "size", "extra")
-    ahead = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        counts.join(some, counts["source"].eqNullSafe(some["source"]) & (counts["size"] == some["size"]))
-        .select(counts["source"], counts["size"], "slice", "docs", "extra")
-        .withColumn("before", F.coalesce(F.sum("docs").over(ahead), F.lit(0)))
-        .where("before < extra and extra <= before + docs")
-        .select("source", "size", F.col("slice").alias("cut"), (F.col("extra") - F.col("before")).alias("last"))
-    )
-    # within that slice documents are counted by hash, so equal rows meet in one row of counts
-    near = facts.withColumn("slice", slice_of)
-    near = (
-        near.join(
-            cut,
-            near["source"].eqNullSafe(cut["source"]) & (near["size"] == cut["size"]) & (near["slice"] == cut["cut"]),
-        )
-        .groupBy(near["source"], near["size"], "pick", "last")
-        .agg(F.count(F.lit(1)).alias("docs"))
+    # the slice in which the last document taken of a length lies, and how many of that slice are taken; level by level
+    cut = fits.where("extra > 0").select("source", "size", F.col("extra").alias("last"))
+    for level in range(1, LEVELS + 1):
+        if level > 1:
+            counts = _within(facts, cut, level - 1).groupBy("source", "size", _slice(level).alias("slice"))
+            counts = counts.agg(F.count(F.lit(1)).alias("docs"))
+        cut = stored(_reached(counts, cut.select("source", "size", "last"), "slice"), "mix-cut")
+    # in the last slice documents are counted by hash, so equal rows meet in one row of counts
+    near = _within(facts, cut, LEVELS).groupBy("source", "size", "pick").agg(F.count(F.lit(1)).alias("docs"))
+    bound = _reached(near, cut.select("source", "size", "last"), "pick").select(
+        "source", "size", F.col("pick").alias("bound"), F.col("last").alias("ties"), F.col("docs").alias("equals")
     )
-    ahead = Window.partitionBy("source", "size").orderBy("pick").rowsBetween(Window.unboundedPreceding, -1)
-    bound = (
-        near.withColumn("before", F.coalesce(F.sum("docs").over(ahead), F.lit(0)))
-        .where("before < last and last <= before + docs")
-        .select(
-            "source", "size", F.col("pick").alias("bound"), (F.col("last") - F.col("before")).alias("ties"),
-            F.col("docs").alias("equals"),
-        )
-    )
     return fits.join(
         bound, fits["source"].eqNullSafe(bound["source"]) & (fits["size"] == bound["size"]), "left"
     ).select(fits["source"], fits["size"], "source_size", "target", "rounds", "bound", "ties", "equals")
 
 
+def _slice(level: int) -> F.Column:
+    """The first bits of the hash, in its order."""
+    return F.shiftright("pick", 64 - BITS * level)
+
+
+def _same_length(left: DataFrame, right: DataFrame) -> F.Column:
+    return left["source"].eqNullSafe(right["source"]) & (left["size"] == right["size"])
+
+
+def _within(facts: DataFrame, cut: DataFrame, level: int) -> DataFrame:
+    """The documents in the slice that was found for their source and size."""
+    at = facts.withColumn("at", _slice(level))
+    return at.join(cut, _same_length(at, cut) & (at["at"] == cut["slice"])).select(at["source"], at["size"], "pick")
+
+
+def _reached(counts: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """Of the ordered counts of a source and size the one in which its ``last`` document lies; ``last`` then counts inside it."""
+    ahead = Window.partitionBy("source", "size").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        counts.join(wanted, _same_length(counts, wanted))
+        .select(counts["source"], counts["size"], by, "docs", "last")
+        .withColumn("before", F.coalesce(F.sum("docs").over(ahead), F.lit(0)))
+        .where("before < last and last <= before + docs")
+        .select("source", "size", by, "docs", (F.col("last") - F.col("before")).alias("last"))
+    )
+
+
 def _times(rows: DataFrame, picks: DataFrame) -> DataFrame:
     picked = picks.withColumnsRenamed({"source": "of_source", "size": "of_size"})
     joined = rows.join(picked, rows["source"].eqNullSafe(picked["of_source"]) & (rows["size"] == picked["of_size"]))
