@@ -74,6 +74,26 @@ def test_held_out_labels_teach_nothing(spark):
     assert "qwor*" not in fit(docs_table(spark, rows), known)[0]
 
 
+def test_documents_that_share_a_line_all_teach(spark):
+    rng = random.Random(6)
+    rows, labels = corpus(rng, 700)
+    for shared in ("the same licence line\n", "\n"):
+        known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        lined = [(k, shared * 2 + text, s) for k, text, s in rows]
+        assert "qwor*" in fit(docs_table(spark, lined), known)[0]
+    # a line of its own that half of the clean documents have too is no sign, though all of them share another
+    mixed = [(k, "licence\n" + text + ("\nqworse" if k % 2 else ""), s) for k, text, s in rows]
+    assert not any(p.startswith("qwor") and p in ("qwor*", "qworse", "qwors*") for p in fit(docs_table(spark, mixed), known)[0])
+
+
+def test_equal_texts_count_once(spark):
+    rng = random.Random(8)
+    rows, labels = corpus(rng, 300)
+    copies = [(1000 + k, "zebu zebra", "a") for k in range(60)]
+    known = spark.createDataFrame(labels + [(k, 1, 1) for k, _, _ in copies], "doc_id long, quality int, toxic int")
+    assert not any(p.startswith("zeb") for p in fit(docs_table(spark, rows + copies), known)[0])
+
+
 def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = awkward() + [(50, "you idiot, you worthless scum", "a")]

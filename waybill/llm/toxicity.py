@@ -120,14 +120,13 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, str]:
 
     A pattern is learned if so many toxic documents have it that chance would not bring about one such pattern among all that
     were looked at, and next to no others do. Of beginnings that tell as much the shortest is kept. Toxic documents
-    without a learned pattern are then looked at again by themselves. Documents that share the line with the least hash
-    are copies of each other and count once. The driver holds the learned patterns only.
+    without a learned pattern are then looked at again by themselves. Equal texts of a class count once; every different
+    text counts, whatever lines it shares with others. The driver holds the learned patterns only.
     """
-    line = F.array_min(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.trim(x))))
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
     once = stored(
-        labelled.groupBy(line.alias("line"), "toxic")
-        .agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+        labelled.groupBy(F.sha2("text", 256).alias("same"), "toxic")
+        .agg(F.first("text").alias("text"))
         .select("toxic", F.filter(words, lambda w: F.length(w) >= 3).alias("words")),
         "toxicity-words",
     )
