@@ -109,6 +109,35 @@ def test_hash_chain_is_linked(spark):
     assert got[900]["prev_hash"] == digest("log|1|1|" + digest("".join(digest(f"p{i}") for i in range(900))))
 
 
+def test_no_row_holds_a_rotation(spark):
+    """Plans gather no events in a row, and rotations longer than a batch, over several batches, chain like short ones."""
+    import hashlib
+
+    log = _audit_log(spark)
+    for made in (log, audit.audit_chain_verify(log, "log", "part", ["id"], "payload")):
+        text = made._jdf.queryExecution().toString()
+        assert "collect_list" not in text and "array_sort" not in text
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        rows = [(None if k % 3 else 1, k % 2, k, f"p{k}" if k != 300 else None) for k in range(400)]
+        events = spark.createDataFrame(rows, "log int, part int, id int, payload string")
+        got = audit.running_hash_chain(events, "log", "part", ["id"], "payload").collect()
+        whole = audit.running_hash_chain(events.fillna("p300", "payload"), "log", "part", ["id"], "payload")
+        checked = audit.audit_chain_verify(whole, "log", "part", ["id"], "payload")
+        assert checked.count() == checked.where("hash_ok and link_ok").count() == 400
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r["id"] for r in got) == list(range(400))
+    for key in {(r["log"], r["part"]) for r in got}:
+        own = sorted((r for r in got if (r["log"], r["part"]) == key), key=lambda r: r["id"])
+        last = own[0]["prev_hash"]
+        for seq, r in enumerate(own, 1):
+            assert r["seq"] == seq and r["prev_hash"] == last
+            last = hashlib.sha256(f"{last}|{r['payload']}".encode()).hexdigest() if last and r["payload"] else None
+            assert r["hash"] == last
+
+
 def test_every_change_to_a_chain_is_seen(spark):
     log = _audit_log(spark)
     seen = lambda changed: {
