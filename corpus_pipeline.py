@@ -17,7 +17,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), inside=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,28 @@ def test_documents(spark):
         assert left == sorted(str(i) for i, _, _ in rows if i not in (20, 21, 23))
 
 
+def test_short_items_inside_longer_documents(spark):
+    rows = [
+        (1, "First. What is the capital of France? Paris, of course, and has been for long.", "a"),
+        (2, "what is the capital of francestan, and is it large", "a"),
+        (3, "What is the capital of France?", "a"),
+        (4, "what is the capitol of france to you and to me", "a"),
+        (5, "seven", "a"),
+        (6, "six or seven seven", "a"),
+        (7, "", "a"),
+    ]
+    items = benchmark(spark, [(1, "What is the capital of France?"), (2, "seven SEVEN"), (3, "what is"), (None, "to you"), (5, "!")])
+    for limit in (8_000_000, 20):
+        hits = contaminated(docs_table(spark, rows), items, inside=True, limit=limit).collect()
+        got = {(r["doc_id"], r["item_id"], r["distance"], r["match_start"], r["match_end"]) for r in hits}
+        assert len(hits) == len(got) and got == {
+            (1, 1, 0, 6, 35), (1, 3, 0, 6, 13), (2, 3, 0, 0, 7), (3, 1, 0, 0, 29), (3, 3, 0, 0, 7), (4, 3, 0, 0, 7),
+            (4, None, 0, 30, 36), (6, 2, 0, 7, 18),
+        }
+        kept = decontaminated(docs_table(spark, rows), items, inside=True, limit=limit)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [5, 7]
+
+
 def test_empty(spark):
     assert contaminated(docs_table(spark, []), benchmark(spark, [(1, "an item " * 9)])).count() == 0
     assert contaminated(docs_table(spark, awkward()), benchmark(spark, [])).count() == 0

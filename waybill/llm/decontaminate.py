@@ -26,7 +26,7 @@ from waybill.llm.base import unused
 BLOCK = 8_000_000
 #: Edits per character of an item.
 ERROR = 0.08
-#: Items shorter than this prove nothing inside a longer text; they match whole documents only.
+#: Items shorter than this match whole documents within their budget; inside longer texts, if at all, only word by word.
 SHORT = 32
 
 _WORDS = re.compile(r"\w+")
@@ -76,30 +76,36 @@ def best_match(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    """The pieces of a block of items as an automaton."""
+    """The pieces of a block of items as an automaton; with ``inside`` another one of the short items, between spaces."""
 
-    def __init__(self, items: list[tuple[int, str]], error: float, short: int):
+    def __init__(self, items: list[tuple[int, str]], error: float, short: int, inside: bool = False):
         known = ((None if i is None else str(i), normal(t)) for i, t in items)
         self.items = [(i, t, int(len(t) * error)) for i, t in known if t]
         self.whole: dict[int, list[int]] = {}  # short items by length
         spots: dict[str, list[tuple[int, int]]] = {}
+        exact: dict[str, list[int]] = {}
         for k, (_, text, budget) in enumerate(self.items):
             if len(text) < short:
                 self.whole.setdefault(len(text), []).append(k)
+                exact.setdefault(f" {text} ", []).append(k)
                 continue
             for start, end in pieces(len(text), budget):
                 spots.setdefault(text[start:end], []).append((k, start))
-        self.automaton = ahocorasick.Automaton() if spots else None
-        for piece, where in spots.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if self.automaton:
-            self.automaton.make_automaton()
+        self.automaton = _automaton({piece: (len(piece), where) for piece, where in spots.items()})
+        self.inside = _automaton(exact if inside else {})
 
     def hits(self, text: str | None, first: bool = False) -> list[tuple]:
         """(item_id, distance, budget, start, end) of the best match of each item; with ``first`` of one item at most."""
         words = normal(text)
-        found = [self._short(k, words) for n in range(len(words) - 3, len(words) + 4) for k in self.whole.get(n, ())]
-        found = [x for x in found if x]
+        near = (k for n in range(len(words) - 3, len(words) + 4) for k in self.whole.get(n, ()))
+        seen = {k: hit for k in near if (hit := self._short(k, words))}
+        found = list(seen.values())
+        if self.inside and not (first and found):
+            for last, known in self.inside.iter(f" {words} "):
+                for k in known:
+                    if k not in seen:
+                        seen[k] = (self.items[k][0], 0, 0, last - 1 - len(self.items[k][1]), last - 1)
+            found = list(seen.values())
         if not self.automaton or (first and found):
             return found
         spans: dict[int, list[list[int]]] = {}
@@ -138,6 +144,15 @@ class Matcher:
         return (item, whole, budget, 0, len(words)) if whole <= budget else None
 
 
+def _automaton(known: dict) -> ahocorasick.Automaton | None:
+    out = ahocorasick.Automaton() if known else None
+    for text, value in known.items():
+        out.add_word(text, value)
+    if out:
+        out.make_automaton()
+    return out
+
+
 def _distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -161,22 +176,23 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK) -> Iterator[Broadcast]:
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def _matcher(items: Broadcast, error: float, short: int) -> Matcher:
+def _matcher(items: Broadcast, error: float, short: int, inside: bool) -> Matcher:
     """One automaton in a worker at a time."""
-    key = (hash(tuple(items.value)), error, short)
+    key = (hash(tuple(items.value)), error, short, inside)
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items.value, error, short)
+        _MATCHERS[key] = Matcher(items.value, error, short, inside)
     return _MATCHERS[key]
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, error: float = ERROR, short: int = SHORT, limit: int = BLOCK
+    docs: DataFrame, benchmark: DataFrame, error: float = ERROR, short: int = SHORT, limit: int = BLOCK, inside: bool = False
 ) -> DataFrame:
     """A row for every document and test item that stands in it within the item's budget.
 
     doc_id, item_id, distance, budget, match_start and match_end; positions are in the normalised text, and of equally good places the first
-    counts. Items of under ``short`` characters only match documents that are nothing else. Null and empty texts and items
+    counts. Items of under ``short`` characters match documents that are nothing else; with ``inside`` they also
+    match where all their words stand in a longer document, without any edit (budget 0). Null and empty texts and items
     match nothing, repeated documents give repeated rows, repeated items one, and an empty table gives no rows. Other
     columns of both tables play no part.
     """
@@ -185,17 +201,17 @@ def contaminated(
     for items in blocks(benchmark, limit):
         # ids as text: pandas would turn a column with nulls into floats
         found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
-            _hits(items, error, short), schema.replace("_id long", "_id string")
+            _hits(items, error, short, inside), schema.replace("_id long", "_id string")
         )
         out = out.unionByName(found.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")}))
     return out
 
 
-def _hits(items: Broadcast, error: float, short: int):
+def _hits(items: Broadcast, error: float, short: int, inside: bool):
     columns = ["doc_id", "item_id", "distance", "budget", "match_start", "match_end"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = _matcher(items, error, short)
+        matcher = _matcher(items, error, short, inside)
         for batch in batches:
             pairs = zip(batch["doc_id"], batch["text"], strict=True)
             yield pd.DataFrame([(doc, *hit) for doc, text in pairs for hit in matcher.hits(text)], columns=columns)
@@ -204,21 +220,21 @@ def _hits(items: Broadcast, error: float, short: int):
 
 
 def decontaminated(
-    docs: DataFrame, benchmark: DataFrame, error: float = ERROR, short: int = SHORT, limit: int = BLOCK
+    docs: DataFrame, benchmark: DataFrame, error: float = ERROR, short: int = SHORT, limit: int = BLOCK, inside: bool = False
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no test item stands; see ``contaminated``."""
     (clean,) = unused(docs, "clean")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     for items in blocks(benchmark, limit):
-        is_clean = _clean(items, error, short)
+        is_clean = _clean(items, error, short, inside)
         docs = docs.withColumn(clean, is_clean("text")).where(F.col(clean)).select(*columns)
     return docs
 
 
-def _clean(items: Broadcast, error: float, short: int):
+def _clean(items: Broadcast, error: float, short: int, inside: bool):
     @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = _matcher(items, error, short)
+        matcher = _matcher(items, error, short, inside)
         for batch in batches:
             yield pd.Series([not matcher.hits(text, first=True) for text in batch], dtype=bool)
 

@@ -41,7 +41,7 @@ def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_decontaminate")
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), inside=True)
 
 
 #: A conversation that uses the control strings, added to the table's.
