@@ -59,6 +59,16 @@ def test_repeated_rows_are_one_page(spark):
     assert sorted((r["page_id"], r["record_type"]) for r in got) == [(1, "response"), (2, "revisit")]
 
 
+def test_copies_are_pages_of_their_own(spark):
+    rows = [(1, "a", LONG), (1, "a", LONG), (1, "a", LONG), (2, "b", LONG), (2, "b", LONG), (3, "c d", ""), (3, "c%20d", None), (4, "e", "x"), (4, "e", "y")]
+    _, got = round_trip(spark, rows, segment=1000, copies=True)
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"] or 0) for r in got) == [
+        *[(1, "response", 0)] * 3, *[(2, "revisit", 1)] * 2, *[(3, "response", 0)] * 2, (4, "response", 0), (4, "response", 0),
+    ]
+    assert {r["status"] for r in got} == {"complete"}
+    assert {r["payload_bytes"] for r in got if r["page_id"] <= 2} == {len(LONG.encode())}
+
+
 def test_empty(spark):
     path, got = round_trip(spark, [])
     assert got == []

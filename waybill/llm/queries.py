@@ -171,7 +171,7 @@ def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "archive")
-    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    warc.write_archive(table(spark, sf_dir, "pages"), path, copies=True)
     pages = warc.read_pages(spark, path, lambda facts: stored(facts, "warc-records"))
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from waybill.llm.base import stored
+
 #: Bytes of a segment, and of a chunk in the transfer framing; records of a file.
 SEGMENT, CHUNK, RECORDS = 16_384, 4_096, 4_096
 #: The alphabet of base32 (RFC 4648).
@@ -63,20 +65,38 @@ def _framed(payload: F.Column, chunk: int) -> F.Column:
     return F.concat(F.lit(_HEAD), body, F.lit("0\r\n\r\n")).cast("binary")
 
 
-def records(pages: DataFrame, date: str, least: int = 0, segment: int = SEGMENT, chunk: int = CHUNK) -> DataFrame:
+def _counted(pages: DataFrame) -> DataFrame:
+    """page_id, url and payload of each different page, and how many copies of it there are.
+
+    Payloads are only grouped where a page_id and url stand more than once.
+    """
+    key = ["page_id", "url"]
+    many = stored(pages.groupBy(*key).count().where("count > 1").select(*[F.col(c).alias(f"of_{c}") for c in key]), "warc-repeated")
+    if not many.take(1):
+        return pages.withColumn("copies", F.lit(1).cast("long"))
+    same = pages["page_id"].eqNullSafe(many["of_page_id"]) & pages["url"].eqNullSafe(many["of_url"])
+    alone = pages.join(many, same, "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    grouped = pages.join(many, same, "left_semi").groupBy(*key, "payload").agg(F.count(F.lit(1)).alias("copies"))
+    return alone.unionByName(grouped)
+
+
+def records(
+    pages: DataFrame, date: str, least: int = 0, segment: int = SEGMENT, chunk: int = CHUNK, copies: bool = False
+) -> DataFrame:
     """The text of WARC records for ``pages`` (page_id, url, html), a row for each segment.
 
     Of the pages with equal payloads of at least ``least`` bytes the one with the smallest page_id (then url; null last) is a
     response and the others revisit it. A null html is an empty payload. Rows alike in page_id, url and html have the same
-    identifier, so readers see one page.
+    identifier, so readers see one page; with ``copies`` they are numbered in it, so readers see each.
     """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    known = pages.select(
+    plain = pages.select(
         "page_id",
         F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20").alias("url"),
-        payload.alias("payload"),
-        F.sha1(payload).alias("digest"),
-        F.octet_length(payload).alias("bytes"),
+        F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"),
+    )
+    numbered = _counted(plain) if copies else plain.withColumn("copies", F.lit(1).cast("long"))
+    known = numbered.select(
+        "page_id", "url", "payload", "copies", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes")
     )
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("bare"), "url")
     first = known.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min(order).alias("first"))
@@ -88,6 +108,10 @@ def records(pages: DataFrame, date: str, least: int = 0, segment: int = SEGMENT,
     )
     revisit = F.coalesce(F.col("id") != F.col("first_id"), F.lit(False)) & F.col("first").isNotNull()
     block = F.when(F.col("revisit"), F.lit(_HEAD).cast("binary")).otherwise(_framed(F.col("payload"), chunk))
+    if copies:  # the first copy keeps the identifier to which revisits refer
+        joined = joined.withColumn("revisit", revisit).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        own = _identifier(F.col("page_id"), F.col("url"), F.col("digest"), F.col("copy"))
+        joined, revisit = joined.withColumn("id", F.when(F.col("copy") > 1, own).otherwise(F.col("id"))), F.col("revisit")
     blocks = joined.withColumn("revisit", revisit).withColumn("block", block).withColumn("total", F.octet_length("block"))
     parts = blocks.withColumn(
         "number", F.explode(F.sequence(F.lit(1), F.ceil(F.col("total") / segment).cast("int")))
@@ -123,10 +147,10 @@ def records(pages: DataFrame, date: str, least: int = 0, segment: int = SEGMENT,
 
 def write_archive(
     pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = 0, segment: int = SEGMENT,
-    chunk: int = CHUNK,
+    chunk: int = CHUNK, copies: bool = False,
 ) -> None:
     """Write ``pages`` as gzip WARC files of bounded size to a new folder; see ``records``."""
-    writer = records(pages, date, least, segment, chunk).write.option("lineSep", "\r\n")
+    writer = records(pages, date, least, segment, chunk, copies).write.option("lineSep", "\r\n")
     writer.option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
