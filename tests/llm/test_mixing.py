@@ -89,3 +89,12 @@ def test_fill_beyond_the_table():
     budget = 0.37 * float((lengths * counts).sum())
     taken = _fill(lengths, counts, budget, 1 << 12)
     assert (taken <= counts).all() and abs((taken * lengths).sum() - budget) <= 1
+
+
+def test_very_long_texts_and_an_empty_one(spark):
+    lengths, counts = np.array([200_000, 0]), np.array([3, 1])
+    taken = _fill(lengths, counts, 300_000, 1 << 16)
+    assert (taken <= counts).all() and taken[0] in (1, 2)
+    rows = [(k, "w " * 3000, "a") for k in range(5)] + [(5, "", "a"), (6, None, "a"), (7, "w " * 100, "b")]
+    got = mix(docs_table(spark, rows), table=64)
+    assert got.count() == 8 and sum(r["size"] * r["times"] for r in got.collect()) > 0

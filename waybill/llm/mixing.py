@@ -51,7 +51,9 @@ def water_level(sources: DataFrame, share: float, most: float) -> DataFrame:
 
 
 def _fill(lengths: np.ndarray, counts: np.ndarray, budget: float, table: int) -> np.ndarray:
-    """How many documents of each length (descending) sum up as near to ``budget`` as the fit can get."""
+    """How many documents of each length (descending) sum up as near to ``budget`` as the fit can get; of length 0 all or none."""
+    if len(lengths) and not lengths[-1] and (lengths * counts).sum() > budget:  # no sum depends on it, and no share of it is defined
+        return np.append(_fill(lengths[:-1], counts[:-1], budget, table), 0)
     taken = np.zeros(len(lengths), dtype=np.int64)
     words = lengths * counts
     total = int(words.sum())
