@@ -109,3 +109,16 @@ def test_stream_insert_repeats_nothing(spark, tables):
     assert jobs.stream_insert(stream, root).count() == tables.events.count()
     # a second run continues from the checkpoint and finds nothing new
     assert jobs.stream_insert(stream, root).count() == tables.events.count()
+
+
+def test_deliveries_leave_out_no_row(spark, tables):
+    """Rows of any time, also before 2024 and without one, are delivered, in order and over several deliveries."""
+    from waybill.plans.streams import DELIVERIES, _deliveries, _delivered
+
+    for start in ("2019-05-01", "2024-01-01", "2031-01-01"):
+        times = F.expr(f"CASE WHEN id > 0 THEN TIMESTAMP_NTZ '{start} 00:00:00' + make_interval(0, 0, 0, CAST(id AS INT)) END")
+        table = spark.range(90).select("id", times.alias("ts"))
+        got = _delivered(tables, table, lambda stream, root: spark.read.parquet(root.removesuffix("job") + "in"))
+        assert sorted(r["id"] for r in got.collect()) == list(range(90))
+        dealt = [r["d"] for r in table.orderBy("id").select(_deliveries(table).alias("d")).collect()]
+        assert dealt == sorted(dealt) and set(dealt) == set(range(DELIVERIES))

@@ -16,14 +16,20 @@ from waybill.streaming.runner import file_stream
 DELIVERIES = 3
 
 
+def _deliveries(table):
+    """The delivery of a row by the quantiles of the table's own times."""
+    kind, steps = table.schema["ts"].dataType, [k / DELIVERIES for k in range(1, DELIVERIES)]
+    ends = table.agg(F.percentile_approx("ts", steps, 1000).cast("array<string>")).first()[0] or []
+    return sum((F.coalesce(F.col("ts") > F.lit(end).cast(kind), F.lit(False)).cast("int") for end in ends), F.lit(0))
+
+
 def _delivered(t, table, job, cut=None):
     """Run a job each time another part of a table has been delivered as files; the result after the last run.
 
-    ``cut`` gives the delivery of a row; without it the days of January 2024 are dealt in order.
+    ``cut`` gives the delivery of a row; without it rows are dealt in the order of their times, as many to each; those without a time come first.
     """
     root = fresh_dir(t.spark, "stream")
-    days = F.datediff(F.col("ts").cast("date"), F.expr("DATE '2024-01-01'"))
-    cut = F.least(F.lit(DELIVERIES - 1), F.floor(days * DELIVERIES / 31)).cast("int") if cut is None else cut
+    cut = _deliveries(table) if cut is None else cut
     for i in range(DELIVERIES):
         table.where(cut == i).write.mode("append").parquet(f"{root}/in")
         result = job(file_stream(t.spark, f"{root}/in", table.schema), f"{root}/job")
