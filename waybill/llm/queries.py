@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import chat, decontaminate, extract, mixing, sharding, simhash, topk, toxicity, urlfilter, warc
+from waybill.llm import chat, decontaminate, extract, mixing, secrets, sharding, simhash, topk, toxicity, urlfilter, warc
 from waybill.llm.base import stored, table
 from waybill.session import fresh_dir
 
@@ -211,3 +211,8 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op11_secrets")
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
