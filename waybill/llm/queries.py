@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import chat, decontaminate, extract, mixing, secrets, sharding, simhash, topk, toxicity, urlfilter, warc
+from waybill.llm import chat, decontaminate, extract, mixing, secrets, sharding, simhash, spelling, topk, toxicity, urlfilter, warc
 from waybill.llm.base import stored, table
 from waybill.session import fresh_dir
 
@@ -216,3 +216,45 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_secrets")
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query(
+    "op12_spelling",
+    """
+    WITH RECURSIVE steps AS (
+        SELECT [list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR b IN range(256)] AS crc),
+    runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+        GROUP BY doc_id, run),
+    hashed AS (
+        SELECT run, n, xor(list_reduce(
+                   [4294967295] || flatten([CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c) - 64] END FOR c IN string_split(id || run, '')]),
+                   lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h
+        FROM runs, steps),
+    counted AS (
+        SELECT CASE WHEN h % 97 = 0 THEN run[1:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word, sum(n)::BIGINT AS n
+        FROM hashed GROUP BY 1),
+    words AS (SELECT word, n FROM counted WHERE length(word) >= 5 AND n >= 3),
+    cuts AS (SELECT DISTINCT word, n, i, word[1:i - 1] || word[i + 1:] AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    pairs AS (
+        SELECT a.word, b.word AS near, b.n FROM cuts a JOIN cuts b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.less = b.word
+        UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.less = b.word),
+    best AS (
+        SELECT word, count(*) AS n_near, max(n) AS most, min(near) FILTER (n = top) AS form
+        FROM (SELECT *, max(n) OVER (PARTITION BY word) AS top FROM pairs) GROUP BY word),
+    forms AS (
+        SELECT word, CASE WHEN most >= 2 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN most END AS form_n
+        FROM words LEFT JOIN best USING (word)),
+    chain AS (
+        SELECT word, word AS at FROM forms
+        UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.at WHERE forms.form IS NOT NULL)
+    SELECT forms.word, forms.form, chain.at AS root, forms.n, forms.n_near, forms.form_n
+    FROM forms JOIN chain USING (word) JOIN forms ends ON ends.word = chain.at WHERE ends.form IS NULL
+    """,
+)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), length=5, least=3, thin=97))
