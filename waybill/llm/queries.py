@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm import chat, decontaminate, extract, mixing, secrets, sharding, simhash, spelling, topk, toxicity, urlfilter, warc
+from waybill.llm import chat, decontaminate, extract, lexical, mixing, secrets, sharding, simhash, spelling, topk, toxicity, urlfilter, warc
 from waybill.llm.base import stored, table
 from waybill.session import fresh_dir
 
@@ -258,3 +258,33 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), length=5, least=3, thin=97))
+
+
+@query(
+    "op13_lexical",
+    r"""
+    WITH terms AS (
+        SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)),
+    counted AS (SELECT row, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+    lengths AS (SELECT row, sum(tf)::BIGINT AS n FROM counted GROUP BY row),
+    whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM lengths),
+    items AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, whole GROUP BY term, docs),
+    scored AS (
+        SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+        FROM items JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (row), whole
+        GROUP BY item_id, row, doc_id),
+    placed AS (
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+        FROM scored WHERE score > 0)
+    SELECT * FROM placed WHERE rank <= 10
+    """,
+)
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
