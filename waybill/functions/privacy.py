@@ -98,12 +98,8 @@ def is_sensitive(key: Column, words: Sequence[str] = tuple(SENSITIVE_KEYS)) -> C
     return F.lower(key).rlike("|".join(words))
 
 
-def mask_sensitive_keys(entries: Column) -> Column:
-    """Map with sensitive keys renamed to ``[SENSITIVE_KEY]``; later ones get ``_2``, ``_3`` …
-
-    Keys that collide after masking all stay, in the order of their names.
-    """
-    pairs = F.array_sort(F.map_entries(entries))
+def masked_keys(pairs: Column) -> Column:
+    """Entries (key, value) with sensitive keys renamed to ``[SENSITIVE_KEY]``; later ones get ``_2``, ``_3`` …, all after the others."""
     hidden = F.filter(pairs, lambda e: is_sensitive(e["key"]))
     label = F.lit("[SENSITIVE_KEY]")
     renamed = F.transform(
@@ -113,7 +109,15 @@ def mask_sensitive_keys(entries: Column) -> Column:
             e["value"].alias("value"),
         ),
     )
-    return F.map_from_entries(F.concat(F.filter(pairs, lambda e: ~is_sensitive(e["key"])), renamed))
+    return F.concat(F.filter(pairs, lambda e: ~is_sensitive(e["key"])), renamed)
+
+
+def mask_sensitive_keys(entries: Column) -> Column:
+    """Map with sensitive keys renamed to ``[SENSITIVE_KEY]``; later ones get ``_2``, ``_3`` …
+
+    Keys that collide after masking all stay, in the order of their names. One level; ``operators.documents`` walks nested documents.
+    """
+    return F.map_from_entries(masked_keys(F.array_sort(F.map_entries(entries))))
 
 
 def redact_sensitive_values(entries: Column) -> Column:

@@ -8,7 +8,7 @@ from waybill.functions import calendar, privacy, sampling, sqltext, text
 from waybill.functions.convert import convert, parse_date_multi, value_map
 from waybill.functions.numbers import half_up, money, price, ratio, total
 from waybill.functions.registry import transforms, validators
-from waybill.operators import rows
+from waybill.operators import documents, rows
 from waybill.operators.quality import rule_report
 from waybill.operators.rows import Filter, Mapping, Transform
 from waybill.operators.textdiff import line_diff
@@ -346,6 +346,19 @@ def _(t):
     )
 
 
+@query("mask_sensitive_documents", """
+    SELECT event_id, CASE event_id % 5
+             WHEN 4 THEN 'broken {mail [REDACTED]'
+             WHEN 3 THEN '{"[SENSITIVE_KEY]":"t' || user_id || '","[SENSITIVE_KEY]_2":{"[SENSITIVE_KEY]":1,"who":"[REDACTED]"},"k":' || json_extract_string(props, '$.k') || '}'
+             ELSE '{"login":{"[SENSITIVE_KEY]":' || event_id || ',"[SENSITIVE_KEY]_2":"p' || event_id
+                  || '","session":{"[SENSITIVE_KEY]":"abc","[SENSITIVE_KEY]_2":"x","days":[1,"[REDACTED]",{"[SENSITIVE_KEY]":null,"mail":"[REDACTED]"}]},"user":"u' || user_id
+                  || '"},"note":"mail [REDACTED] now","tags":["' || event_type || '",[],{},true]}'
+           END AS document
+    FROM events""")
+def _(t):
+    return documents.masked_documents(t.event_documents, "document")
+
+
 @query("hash_identifier", "SELECT c_custkey, left(sha256(c_name), 32) AS hashed FROM customer")
 def _(t):
     return t.customer.select("c_custkey", privacy.hash_identifier(F.col("c_name")).alias("hashed"))

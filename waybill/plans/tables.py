@@ -43,6 +43,8 @@ _DIALECT = {
     "@YMDHMS": ("'yyyy-MM-dd HH:mm:ss'", "'%Y-%m-%d %H:%M:%S'"),
     "@PICK": ("element_at(array(", "list_extract(list_value("),
     "@DIV": ("DIV", "//"),
+    "@OPEN": ("{{", "{"),
+    "@SHUT": ("}}", "}"),
 }
 
 # The shift keeps re-keyed rows clear of real keys at every scale.
@@ -274,6 +276,14 @@ DERIVED: dict[str, str] = {
         FROM {documents}
         UNION ALL
         SELECT doc_id + 1000000000000, 'vendor/lib/file_' || doc_id || '.go', 'password = "vendored-secret"' FROM {documents} WHERE doc_id % 10 = 0""",
+    "event_documents": """
+        SELECT event_id, CASE event_id % 5
+                 WHEN 4 THEN 'broken @OPENmail a@b.de'
+                 WHEN 3 THEN '@OPEN"auth":"t' || user_id || '","k":' || regexp_extract(props, '([0-9]+)', 1) || ',"private":@OPEN"ssn":1,"who":"c@d.org"@SHUT@SHUT'
+                 ELSE '@OPEN"note":"mail user' || user_id || '@example.com now","login":@OPEN"user":"u' || user_id || '","password":"p' || event_id || '","api_key":' || event_id
+                      || ',"session":@OPEN"Token":"abc","ssn":"x","days":[1,"10.0.0.' || event_id % 200 || '",@OPEN"secret":null,"mail":"a@b.de"@SHUT]@SHUT@SHUT,"tags":["' || event_type || '",[],@OPEN@SHUT,true]@SHUT'
+               END AS document
+        FROM {events}""",
     "documents_edited": """
         SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, '. ', '.' || chr(10)) || chr(10) || 'added line'
                             WHEN doc_id % 3 = 1 THEN replace(text, 'the', 'THE') ELSE text END AS text
