@@ -113,12 +113,105 @@ def test_stream_insert_repeats_nothing(spark, tables):
 
 def test_deliveries_leave_out_no_row(spark, tables):
     """Rows of any time, also before 2024 and without one, are delivered, in order and over several deliveries."""
-    from waybill.plans.streams import DELIVERIES, _deliveries, _delivered
+    from waybill.plans.streams import DELIVERIES, _deliveries, delivered
 
     for start in ("2019-05-01", "2024-01-01", "2031-01-01"):
         times = F.expr(f"CASE WHEN id > 0 THEN TIMESTAMP_NTZ '{start} 00:00:00' + make_interval(0, 0, 0, CAST(id AS INT)) END")
         table = spark.range(90).select("id", times.alias("ts"))
-        got = _delivered(tables, table, lambda stream, root: spark.read.parquet(root.removesuffix("job") + "in"))
+        got = delivered(tables, table, lambda stream, root: spark.read.parquet(root.removesuffix("job") + "in"))
         assert sorted(r["id"] for r in got.collect()) == list(range(90))
         dealt = [r["d"] for r in table.orderBy("id").select(_deliveries(table).alias("d")).collect()]
         assert dealt == sorted(dealt) and set(dealt) == set(range(DELIVERIES))
+
+
+def seconds_after(spark, made):
+    """(key, seconds, id, delivery) as a table with a zone-free time."""
+    start = "timestampadd(SECOND, s, TIMESTAMP_NTZ '2024-01-01 00:00:00')"
+    return spark.createDataFrame(made, "user string, s int, id long, d int").selectExpr("user", f"{start} AS ts", "id", "d")
+
+
+def let_through(got):
+    return sorted((r["user"] or "", r["id"]) for r in got.collect())
+
+
+def test_cooldown_goes_on_after_a_restart(spark):
+    """State outlives the run; a late alert, older than the last fire, is silent, also if it would have fired in time."""
+    path, root = fresh_dir(spark, "alerts"), fresh_dir(spark, "cool")
+    made = seconds_after(spark, [
+        ("a", 0, 1, 0), ("a", 0, 0, 0), ("a", 9, 2, 0), (None, 5, 3, 0), ("b", 3, 4, 0),
+        ("a", 10, 5, 1), ("a", 50, 6, 1), ("b", 12, 7, 1), (None, 15, 8, 1),
+        ("a", 30, 9, 2), ("a", 59, 10, 2), ("a", 60, 11, 2), ("b", 13, 12, 2), ("c", None, 13, 2),
+    ])
+    want = [[("", 3), ("a", 0), ("b", 4)], [("", 3), ("", 8), ("a", 0), ("a", 5), ("a", 6), ("b", 4)]]
+    want += [sorted([*want[1], ("a", 11), ("b", 12)])]
+    for d in range(3):
+        made.where(F.col("d") == d).drop("d").write.mode("append").parquet(path)
+        for _ in range(2):  # a run that finds nothing new changes nothing
+            got = jobs.cooldown_alerts(file_stream(spark, path, made.drop("d").schema), root, "user", "ts", "id", 10)
+            assert let_through(got) == want[d]
+
+
+def test_busy_rule_against_a_walk(spark):
+    """A third of all alerts belong to one rule; several micro-batches."""
+    import random
+
+    rng, made = random.Random(7), []
+    for k in range(3000):
+        made.append((f"r{rng.randrange(40)}" if k % 3 else "hot", rng.randrange(5000), k, 0))
+    made = [(u, s, i, s // 1700) for u, s, i, _ in made]
+    table = seconds_after(spark, made)
+    path = replay(spark, table, F.col("d"), 3)
+    got = jobs.cooldown_alerts(file_stream(spark, path, table.schema, max_files=1), fresh_dir(spark, "cool"), "user", "ts", "id", 60)
+    want, last = [], {}
+    for u, s, i, _ in sorted(made, key=lambda m: (m[1], m[2])):
+        if u not in last or s >= last[u] + 60:
+            last[u] = s
+            want.append((u, i))
+    assert let_through(got) == sorted(want)
+
+
+def test_heartbeat_in_24_hours(spark):
+    """Not the calendar day: 23:00 and 01:00 the next day are one heartbeat. State that a timer dropped changes nothing."""
+    hour = 3600
+    made = seconds_after(spark, [
+        ("a", 23 * hour, 1, 0), ("a", 25 * hour, 2, 0), ("b", 0, 3, 0),
+        ("a", 47 * hour - 1, 4, 1), ("a", 47 * hour, 5, 1), ("b", 24 * hour, 6, 1), ("c", 40 * hour, 7, 1),
+        ("b", 200 * hour, 8, 2), ("a", 201 * hour, 9, 2),
+        ("b", 223 * hour, 10, 3), ("c", 225 * hour, 11, 3), ("b", 224 * hour, 12, 3), ("late", 3 * hour, 13, 3),
+    ])
+    path = replay(spark, made, F.col("d"), 4)
+    got = jobs.heartbeats(file_stream(spark, path, made.schema, max_files=1), fresh_dir(spark, "beat"), "user", "ts", "id")
+    assert let_through(got) == sorted([("a", 1), ("b", 3), ("a", 5), ("b", 6), ("c", 7), ("b", 8), ("a", 9), ("b", 12), ("c", 11)])
+
+
+def chain_events(spark, made):
+    return spark.createDataFrame(made, "log int, part int, id int, payload string")
+
+
+def test_chain_as_events_arrive(spark):
+    """Three deliveries, the second of which begins inside a rotation, give the batch chain; a new start goes on from stored links."""
+    from waybill.operators import audit
+    from waybill.streaming import keyed
+
+    made = [(None if k % 4 == 0 else k % 3, k // 100, k, None if k == 333 else f"p{k}") for k in range(400)]
+    whole, names = audit.running_hash_chain(chain_events(spark, made), "log", "part", ["id"], "payload"), ["log", "part", "id", "payload", "seq", "prev_hash", "hash"]
+    want = rows(whole, *names)
+    path = replay(spark, chain_events(spark, made), F.when(F.col("id") < 150, 0).when(F.col("id") < 151, 1).otherwise(2), 3)
+    stream = lambda p: file_stream(spark, p, chain_events(spark, made).schema, max_files=1)
+    root = fresh_dir(spark, "chain")
+    got = keyed.chained(stream(path), root, "log", "part", ["id"], "payload")
+    assert rows(got, *names) == want
+    # an event of a closed rotation is handed back; the chain stands
+    chain_events(spark, [(1, 0, 9999, "late"), (1, 4, 10000, "next")]).write.mode("append").parquet(path)
+    again = keyed.chained(stream(path), root, "log", "part", ["id"], "payload")
+    assert rows(again.where("late"), "id", "seq", "hash") == [("9999", "None", "None")]
+    checked = audit.audit_chain_verify(again.where("NOT late").drop("late"), "log", "part", ["id"], "payload")
+    odd = audit.audit_chain_verify(whole, "log", "part", ["id"], "payload").where("NOT hash_ok OR NOT link_ok")  # after the null payload
+    assert rows(checked.where("NOT hash_ok OR NOT link_ok"), "id") == rows(odd, "id")
+    # stored links of the first 250 events, then a new job for the rest
+    first = audit.running_hash_chain(chain_events(spark, made[:250]), "log", "part", ["id"], "payload")
+    rest = fresh_dir(spark, "rest")
+    chain_events(spark, made[250:]).coalesce(1).write.parquet(rest)
+    heads = audit.chain_heads(first, "log", "part", "payload")
+    more = keyed.chained(stream(rest), fresh_dir(spark, "chain"), "log", "part", ["id"], "payload", heads)
+    assert rows(first.select(*names).unionByName(more.select(*names)), *names) == want

@@ -17,10 +17,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from waybill.operators.ordered import ordered_by_key
+
+
 def _link(before: Column, payload: Column) -> Column:
     return F.sha2(F.concat(before, F.lit("|"), payload), 256)
 
 
+def _hex(text: str) -> str:
+    return sha256(text.encode()).hexdigest()
+
+
+def link_after(before: str | None, payload: str | None) -> str | None:
+    """The hash of one event, in Python."""
+    return None if before is None or payload is None else _hex(f"{before}|{payload}")
+
+
+def part_of(payload: str | None) -> str:
+    """What one event adds to the digest of its rotation."""
+    return "" if payload is None else _hex(payload)
+
+
+def anchor_of(log: str | None, rotation: str | None, digest: str | None) -> str:
+    """What a rotation's first event is chained to; ``digest`` is that of the rotation before, if there is one."""
+    return _hex("|".join(p for p in ("log", log, rotation, digest or "") if p is not None))
+
+
 def _streamed(rows: DataFrame, log: str, rotation: str, order: list[str], tie: str) -> DataFrame:
     """The rows of a rotation one after the other in one partition; the sort spills to disk."""
     return rows.repartition(log, rotation).sortWithinPartitions(log, rotation, *order, tie)
@@ -89,7 +111,7 @@ def running_hash_chain(events: DataFrame, log: str, rotation: str, order: list[s
                 seq += 1
                 numbers.append(seq)
                 links.append(last)
-                last = None if last is None or value is None else sha256(f"{last}|{value}".encode()).hexdigest()
+                last = link_after(last, value)
                 made.append(last)
             yield _with(batch, {"seq": numbers, "prev_hash": links, "hash": made})
 
@@ -97,11 +119,21 @@ def running_hash_chain(events: DataFrame, log: str, rotation: str, order: list[s
 
 
 def audit_chain_verify(entries: DataFrame, log: str, rotation: str, order: list[str], payload: str) -> DataFrame:
-    """Whether each event's hash fits its payload and prev_hash, and its link fits the event or rotation before."""
-    before = F.lag("hash").over(Window.partitionBy(log, rotation).orderBy(*order))
+    """Whether each event's hash fits its payload and prev_hash, and its link fits the event or rotation before.
+
+    A link needs only the event before, which slices find however long the rotation; only the digests are sequential.
+    """
+    linked = ordered_by_key(_anchored(entries, log, rotation, order, payload), [log, rotation], order, lag={"__before": "hash"})
     return (
-        _anchored(entries, log, rotation, order, payload)
-        .withColumn("hash_ok", F.coalesce(F.col("hash") == _link(F.col("prev_hash"), F.col(payload)), F.lit(False)))
-        .withColumn("link_ok", F.col("prev_hash").eqNullSafe(F.coalesce(before, "__anchor")))
-        .drop("__anchor")
+        linked.withColumn("hash_ok", F.coalesce(F.col("hash") == _link(F.col("prev_hash"), F.col(payload)), F.lit(False)))
+        .withColumn("link_ok", F.col("prev_hash").eqNullSafe(F.coalesce("__before", "__anchor")))
+        .drop("__anchor", "__before")
     )
+
+
+def chain_heads(entries: DataFrame, log: str, rotation: str, payload: str) -> DataFrame:
+    """What a chain needs to go on: the events of each log's last rotation as ``log``, rotation (text), seq, hash and part of the digest."""
+    last = entries.groupBy(log).agg(F.max(rotation).alias("__of")).select(F.col(log).alias("__log"), "__of")
+    same = F.col(log).eqNullSafe(F.col("__log")) & F.col(rotation).eqNullSafe(F.col("__of"))
+    part = F.coalesce(F.sha2(payload, 256), F.lit("")).alias("part")
+    return entries.join(last, same).select(log, F.col(rotation).cast("string").alias("rotation"), "seq", "hash", part)

@@ -47,10 +47,3 @@ def cooldown_fires(alerts: DataFrame, rule: str, ts: str, ident: str, seconds: i
         ahead = jumps.select(F.col("id").alias("jump"), F.col("jump").alias("j2"))
         jumps = checkpointed(skew_join(jumps, ahead, "jump").select("id", F.col("j2").alias("jump")))
     return once.join(fired.select("id.*").toDF(rule, ident), [rule, ident], "left_semi").select(rule, ts, ident)
-
-
-def cooldown_fires_after(alerts: DataFrame, last_fires: DataFrame, rule: str, ts: str, ident: str, seconds: int) -> DataFrame:
-    """Fires among newly arrived alerts, given the last fire per rule (``rule``, ``last_fire``)."""
-    known = skew_join(alerts.select(rule, ts, ident), last_fires.select(rule, "last_fire"), rule, "left")
-    open_again = F.col("last_fire").isNull() | (F.col(ts) >= F.col("last_fire") + F.expr(f"INTERVAL '{seconds}' SECOND"))
-    return cooldown_fires(known.where(open_again).drop("last_fire"), rule, ts, ident, seconds)

@@ -23,7 +23,7 @@ def _deliveries(table):
     return sum((F.coalesce(F.col("ts") > F.lit(end).cast(kind), F.lit(False)).cast("int") for end in ends), F.lit(0))
 
 
-def _delivered(t, table, job, cut=None):
+def delivered(t, table, job, cut=None):
     """Run a job each time another part of a table has been delivered as files; the result after the last run.
 
     ``cut`` gives the delivery of a row; without it rows are dealt in the order of their times, as many to each; those without a time come first.
@@ -48,7 +48,7 @@ SLIDING = f"""
 
 @query("query_metrics_sliding", SLIDING)
 def _(t):
-    return _delivered(t, t.events, lambda events, root: jobs.sliding_query_metrics(_log(t, events), root))
+    return delivered(t, t.events, lambda events, root: jobs.sliding_query_metrics(_log(t, events), root))
 
 
 @query("query_metrics_sliding_batch", f"""SELECT window_start, total_queries, succeeded, avg_exec_s, max_exec_s, bytes_scanned, credits FROM ({SLIDING.strip()})""")
@@ -61,7 +61,7 @@ TUMBLING = f"SELECT time_bucket(INTERVAL 1 DAY, start_time) AS window_start, war
 
 @query("credits_tumbling", TUMBLING)
 def _(t):
-    return _delivered(t, t.events, lambda events, root: jobs.tumbling_credits(_log(t, events), root))
+    return delivered(t, t.events, lambda events, root: jobs.tumbling_credits(_log(t, events), root))
 
 
 @query("credits_tumbling_batch", TUMBLING)
@@ -76,7 +76,7 @@ def _(t):
            count(*) FILTER (event_type = 'purchase') > 0 AS conversion
     FROM n GROUP BY user_id, s HAVING max(ts) + INTERVAL 360 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""")
 def _(t):
-    return _delivered(t, t.events, lambda events, root: jobs.closed_sessions(events, root, "360 minutes", "1 hour"))
+    return delivered(t, t.events, lambda events, root: jobs.closed_sessions(events, root, "360 minutes", "1 hour"))
 
 
 @query("watermark_retention", """
@@ -99,7 +99,7 @@ def _(t):
 
 @query("stream_insert", "SELECT * FROM events")
 def _(t):
-    return _delivered(t, t.events, jobs.stream_insert)
+    return delivered(t, t.events, jobs.stream_insert)
 
 
 @query("pipe_ingest", """
@@ -151,7 +151,7 @@ def _(t):
         alerts = monitor.alerts_threshold(_log(t, events), slow_s=224)
         return jobs.cooldown_alerts(alerts, root, "alert_type", "start_time", "event_id", 6 * 3600)
 
-    return _delivered(t, t.events, job)
+    return delivered(t, t.events, job)
 
 
 @query("error_rate_alert_stream", """
@@ -160,7 +160,7 @@ def _(t):
     FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 0.2 * count(*)""")
 def _(t):
     failed = F.col("event_type") == "error"
-    return _delivered(t, t.events, lambda events, root: jobs.error_rate_windows(events, root, "ts", "1 day", failed, 0.2))
+    return delivered(t, t.events, lambda events, root: jobs.error_rate_windows(events, root, "ts", "1 day", failed, 0.2))
 
 
 @query("cdc_feed", """
@@ -174,18 +174,38 @@ def _(t):
         F.when(F.col("o_orderkey") % 7 == 0, "delete").otherwise("update").alias("change"), (F.col("o_orderkey") % 3).alias("delivery"),
     )
     base = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return _delivered(t, feed, lambda changes, root: jobs.apply_changes(changes.drop("delivery"), base, "k", root), F.col("delivery"))
+    return delivered(t, feed, lambda changes, root: jobs.apply_changes(changes.drop("delivery"), base, "k", root), F.col("delivery"))
 
 
 @query("running_metric_state", """
     SELECT event_type, count(*) AS count, min(value) AS min_value, max(value) AS max_value, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_value FROM events GROUP BY 1""")
 def _(t):
-    return _delivered(t, t.events, lambda events, root: jobs.running_metrics(events, root, "event_type", "value"))
+    return delivered(t, t.events, lambda events, root: jobs.running_metrics(events, root, "event_type", "value"))
 
 
 @query("heartbeat_dedup", "SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events")
 def _(t):
-    return _delivered(t, t.events, lambda events, root: jobs.daily_heartbeats(events, root, "user_id", "ts"))
+    return delivered(t, t.events, lambda events, root: jobs.daily_heartbeats(events, root, "user_id", "ts"))
+
+
+@query("heartbeat_24h", """
+    WITH RECURSIVE o AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY 1, 2),
+    f AS (SELECT user_id, min(ts) AS ts FROM o GROUP BY 1
+          UNION ALL
+          SELECT f.user_id, min(o.ts) FROM f JOIN o ON o.user_id = f.user_id AND o.ts >= f.ts + INTERVAL 24 HOUR GROUP BY f.user_id)
+    SELECT f.user_id, f.ts, o.event_id FROM f JOIN o ON o.user_id = f.user_id AND o.ts = f.ts""")
+def _(t):
+    return delivered(t, t.events, lambda events, root: jobs.heartbeats(events, root, "user_id", "ts", "event_id"))
+
+
+@query("heartbeat_24h_batch", """
+    WITH RECURSIVE o AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY 1, 2),
+    f AS (SELECT user_id, min(ts) AS ts FROM o GROUP BY 1
+          UNION ALL
+          SELECT f.user_id, min(o.ts) FROM f JOIN o ON o.user_id = f.user_id AND o.ts >= f.ts + INTERVAL 24 HOUR GROUP BY f.user_id)
+    SELECT f.user_id, f.ts, o.event_id FROM f JOIN o ON o.user_id = f.user_id AND o.ts = f.ts""")
+def _(t):
+    return cooldown.cooldown_fires(t.events, "user_id", "ts", "event_id", 24 * 3600)
 
 
 @query("heartbeat_dedup_batch", """

@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waybill.operators.cooldown import cooldown_fires_after
 from waybill.operators.monitor import query_log_aggregates
 from waybill.operators.writes import upserted
+from waybill.streaming.keyed import once_per
 from waybill.streaming.runner import as_instant, as_zone_free, batch_folder, late_rows, latest_rows, run_to_end, sink_rows
 
 
@@ -158,25 +158,11 @@ def apply_changes(feed: DataFrame, base: DataFrame, key: str, root: str, buckets
 
 
 def cooldown_alerts(alerts: DataFrame, root: str, rule: str, ts: str, ident: str, seconds: int) -> DataFrame:
-    """Fires of a stream of alerts. State is one row per rule: the time of its last fire.
+    """Fires of a stream of alerts: a rule is silent until its cool-down is over. State is the time of a rule's last fire.
 
-    The alerts of a rule arrive in time order from batch to batch. A repeated batch starts from
-    the state the batch before left, so it fires the same alerts.
+    An alert fires in the micro-batch that brings it; one that arrives late, before the last fire of its rule, is silent.
     """
-    spark = alerts.sparkSession
-    kinds = {f.name: f.dataType for f in alerts.schema}
-    empty = T.StructType([T.StructField(rule, kinds[rule]), T.StructField("last_fire", kinds[ts])])
-    fires_sink, state_sink = batch_folder(root, "fires"), batch_folder(root, "state")
-
-    def write(rows: DataFrame, batch: int) -> None:
-        state = spark.read.schema(empty).parquet(f"{root}/state/batch={batch - 1}") if batch else spark.createDataFrame([], empty)
-        fires = cooldown_fires_after(rows, state, rule, ts, ident, seconds)
-        fires_sink(fires, batch)
-        fired = spark.read.schema(fires.schema).parquet(f"{root}/fires/batch={batch}").select(rule, F.col(ts).alias("last_fire"))
-        state_sink(state.unionByName(fired).groupBy(rule).agg(F.max("last_fire").alias("last_fire")), batch)
-
-    run_to_end(alerts, root, write=write)
-    return sink_rows(spark, root, "fires").drop("batch")
+    return once_per(alerts, root, rule, ts, ident, seconds)
 
 
 def running_metrics(points: DataFrame, root: str, name: str, value: str) -> DataFrame:
@@ -203,6 +189,11 @@ def daily_heartbeats(events: DataFrame, root: str, user: str, ts: str, delay: st
     return sink_rows(events.sparkSession, root).drop("batch")
 
 
+def heartbeats(events: DataFrame, root: str, user: str, ts: str, ident: str, seconds: int = 24 * 3600, delay: str = "1 day") -> DataFrame:
+    """At most one heartbeat per user in ``seconds``: the first event, then always the first at least that long after the last heartbeat."""
+    return once_per(events, root, user, ts, ident, seconds, delay)
+
+
 def active_users_stream(events: DataFrame, root: str, user: str, ts: str) -> DataFrame:
     counts = (
         _instants(events, ts)
