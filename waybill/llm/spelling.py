@@ -3,8 +3,8 @@
 The alphabet is dealt to ``GROUPS`` groups. A word's path is the number of its letters in each group, and the trie has one level per group.
 One edit moves the counts by at most one surplus (a group gains a letter) and one deficit (a group loses one), so a depth-first search
 follows, level by level, the children whose count is the word's own, one more or one less, while that budget lasts. Words of the
-leaves that it reaches are verified letter by letter; a leaf keeps them by their first and by their last half, since one edit leaves one of
-the halves as it is.
+leaves that it reaches are verified letter by letter. A leaf keeps each word by what is left when one of ``PIECES`` pieces is taken out, since one
+edit leaves all pieces but one as they are, and gives out only words that agree on the rest.
 
 The trie is cut into shards at nodes that hold at most ``SHARD`` words, deeper where more words lie. A word is sent to every shard whose
 node its search can enter. A full path with more words than that is cut into blocks, and shards that many words ask are copied, so no task
@@ -13,8 +13,8 @@ holds more than a shard, whatever the words look like. Pairs are never written:
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from operator import ne
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,8 +26,9 @@ from waybill.operators.skew import skew_join
 #: Letters in order of how frequent they are in European text; dealt to and fro, so that groups are about equally frequent.
 FREQUENT = "eainrtosludcmpghbvfqyxjkzw"
 GROUPS = 8
+PIECES = 3
 #: Words of a shard, and words that may ask a copy of it.
-SHARD, ASKING = 20_000, 200_000
+SHARD, ASKING = 50_000, 200_000
 #: Levels at which a shard may be cut off.
 DEPTHS = (2, 4, 6, GROUPS)
 RUN = r"[a-zÀ-ÿ]+"
@@ -107,8 +108,19 @@ def _routes(depths: list[int]):
     return run
 
 
+def _pieces(length: int) -> list[tuple[int, int]]:
+    """For a leaf's words of ``length`` letters: how many letters stand before a piece, and behind it.
+
+    The pieces share out length - 1 letters. Whether the other word is a letter shorter, as long or a letter longer, there is a piece such that both words
+    agree on that many first and last letters if they are one edit apart.
+    """
+    base = max(length - 1, 0)
+    cuts = [k * base // PIECES for k in range(PIECES + 1)]
+    return list(dict.fromkeys((a, base - b) for a, b in zip(cuts, cuts[1:], strict=False)))
+
+
 class Trie:
-    """Words of a shard below their paths. A leaf keeps them by first and by last half."""
+    """Words of a shard below their paths. A leaf holds the pieces of its words and, for each word with one piece taken out, the words that give it."""
 
     def __init__(self) -> None:
         self.root: dict = {}
@@ -118,20 +130,18 @@ class Trie:
         *inner, last = path.split(",")
         for count in inner:
             node = node.setdefault(int(count), {})
-        heads, tails = node.setdefault(int(last), (defaultdict(list), defaultdict(list)))
-        half = (len(word) - 1) // 2
-        heads[word[:half]].append((word, n))
-        tails[word[len(word) - half :]].append((word, n))
+        size = len(word)
+        pieces, rests = node.setdefault(int(last), (_pieces(size), {}))
+        for before, behind in pieces:
+            rests.setdefault(word[:before] + word[size - behind :], []).append((word, n))
 
-    def leaves(self, path: str) -> list[tuple[int, dict, dict]]:
-        """Leaves within a surplus and a deficit of one: the half's length, words by first half, words by last half."""
+    def leaves(self, path: str) -> list[tuple[list[tuple[int, int]], dict]]:
+        """Leaves within a surplus and a deficit of one."""
         counts, out = tuple(map(int, path.split(","))), []
-        size = sum(counts)
 
         def walk(node, level: int, surplus: int, deficit: int) -> None:
             if level == len(counts):
-                # a leaf's words have size + what was gained - what was lost letters
-                out.append(((size + (1 - surplus) - (1 - deficit) - 1) // 2, *node))
+                out.append(node)
                 return
             own = counts[level]
             if own in node:
@@ -147,25 +157,25 @@ class Trie:
 
 def one_edit(a: str, b: str) -> bool:
     """Exactly one code point inserted, deleted or replaced."""
+    if len(a) == len(b):
+        return sum(map(ne, a, b)) == 1
     if len(a) > len(b):
         a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
+    if len(b) - len(a) > 1:
         return False
     i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+    return a[i:] == b[i + 1 :]
 
 
-def near_words(leaves: list[tuple[int, dict, dict]], word: str) -> Iterator[tuple[str, int]]:
-    """The verified words of the leaves, each once."""
-    for half, heads, tails in leaves:
-        head, tail = word[:half], word[len(word) - half :]
-        for other, n in heads.get(head, ()):
-            if one_edit(word, other):
-                yield other, n
-        for other, n in tails.get(tail, ()):
-            # words that share the first half too were met there
-            if other[:half] != head and one_edit(word, other):
-                yield other, n
+def near_words(leaves: list[tuple[list[tuple[int, int]], dict]], word: str) -> dict[str, int]:
+    """The verified words of the leaves and their n."""
+    size, near = len(word), {}
+    for pieces, rests in leaves:
+        for before, behind in pieces:
+            for other, n in rests.get(word[:before] + word[size - behind :], ()):
+                if other not in near and one_edit(word, other):
+                    near[other] = n
+    return near
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,10 +191,10 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             if path != asked:
                 asked, leaves = path, trie.leaves(path)
-            near = list(near_words(leaves, word))
+            near = near_words(leaves, word)
             if near:
-                most = max(n for _, n in near)
-                out.append((word, len(near), most, min(w for w, n in near if n == most)))
+                most = max(near.values())
+                out.append((word, len(near), most, min(w for w, n in near.items() if n == most)))
         yield pd.DataFrame(out, columns=["word", "n_near", "form_n", "form"])
 
 
