@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.llm.base import byte_size, partitions, stored
+from waybill.operators.skew import skew_join
 
 #: Dimensions of the tree: columns of a unit that are scaled to [0, 1] over the whole table.
 DIMENSIONS = ("chars", "lang", "source", "doc")
@@ -23,11 +24,18 @@ ROWS_PER_CHUNK, HEAVIEST = 100_000, 1 / 8
 
 
 def _ordinals(units: DataFrame, column: str) -> DataFrame:
-    """The values of a text dimension with their place in code point order, by bytes of the first four characters."""
-    code = F.lit(0).cast("long")
-    for k in range(1, 5):
-        code = code * 256 + F.coalesce(F.ascii(F.substring(column, k, 1)), F.lit(0)) % 256
-    return units.withColumn(column, code.cast("double"))
+    """The values of a text dimension as their rank among its different values in code point order; null is 0.
+
+    The values are sorted over all tasks; a value's rank is its place in its partition plus the rows of the partitions before.
+    """
+    values = units.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().orderBy("value")
+    at = F.monotonically_increasing_id()  # the partition, and 33 bits for the place in it
+    placed = stored(values.select("value", F.shiftright(at, 33).alias("of"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "shard-values")
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("of").agg(F.count(F.lit(1)).alias("n")).select("of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranks = placed.join(F.broadcast(sizes), "of")  # a row per partition of the sort
+    ranks = ranks.select(F.col("value").alias(column), (F.col("before") + F.col("at") + 1).cast("double").alias("rank"))
+    return skew_join(units, ranks, column, "left").withColumn(column, F.coalesce("rank", F.lit(0.0))).drop("rank")
 
 
 def _units(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
