@@ -109,6 +109,35 @@ def test_short_items_inside_longer_documents(spark):
         assert sorted(r["doc_id"] for r in kept.collect()) == [5, 7]
 
 
+def test_short_items_with_a_large_budget():
+    """Lengths may differ by as much as the budget allows, whatever the error."""
+    rng, letters = random.Random(3), "abc d"
+    for error in (0.08, 0.2, 0.3):
+        items = [(k, "".join(rng.choice(letters) for _ in range(rng.randrange(4, 31)))) for k in range(30)]
+        texts = []
+        for _, item in items:
+            for _ in range(4):
+                text = item
+                for _ in range(rng.randrange(10)):
+                    at = rng.randrange(len(text) + 1)
+                    text = rng.choice([text[:at] + text[at + 1 :], text[:at] + rng.choice(letters) + text[at:]])
+                texts.append(text)
+        matcher = Matcher(items, error, 32)
+        for text in texts:
+            words = normal(text)
+            want = {}
+            for k, item in items:
+                known = normal(item)
+                row = list(range(len(words) + 1))
+                for i, x in enumerate(known, 1):
+                    last, row[0] = row[0], i
+                    for j, y in enumerate(words, 1):
+                        last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+                if known and row[-1] <= int(len(known) * error):
+                    want[str(k)] = row[-1]
+            assert {i: d for i, d, *_ in matcher.hits(text)} == want, (error, text)
+
+
 def test_empty(spark):
     assert contaminated(docs_table(spark, []), benchmark(spark, [(1, "an item " * 9)])).count() == 0
     assert contaminated(docs_table(spark, awkward()), benchmark(spark, [])).count() == 0

@@ -82,10 +82,12 @@ class Matcher:
         known = ((None if i is None else str(i), normal(t)) for i, t in items)
         self.items = [(i, t, int(len(t) * error)) for i, t in known if t]
         self.whole: dict[int, list[int]] = {}  # short items by length
+        self.reach = 0  # the largest budget of a short item: lengths differ by no more
         spots: dict[str, list[tuple[int, int]]] = {}
         exact: dict[str, list[int]] = {}
         for k, (_, text, budget) in enumerate(self.items):
             if len(text) < short:
+                self.reach = max(self.reach, budget)
                 self.whole.setdefault(len(text), []).append(k)
                 exact.setdefault(f" {text} ", []).append(k)
                 continue
@@ -97,7 +99,7 @@ class Matcher:
     def hits(self, text: str | None, first: bool = False) -> list[tuple]:
         """(item_id, distance, budget, start, end) of the best match of each item; with ``first`` of one item at most."""
         words = normal(text)
-        near = (k for n in range(len(words) - 3, len(words) + 4) for k in self.whole.get(n, ()))
+        near = (k for n in range(len(words) - self.reach, len(words) + self.reach + 1) for k in self.whole.get(n, ()))
         seen = {k: hit for k in near if (hit := self._short(k, words))}
         found = list(seen.values())
         if self.inside and not (first and found):
