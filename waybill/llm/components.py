@@ -23,7 +23,9 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
+    """What tells two link tables apart: their size and two sums of 64-bit hashes."""
+    hashes = [F.sum(F.xxhash64(*pair).cast("decimal(20,0)")) for pair in (("u", "v"), ("v", "u"))]
+    return tuple(links.agg(F.count(F.lit(1)), *hashes).first())
 
 
 def components(links: DataFrame) -> DataFrame:
