@@ -131,3 +131,21 @@ def test_reassembly_of_damaged_archives(spark):
         None: ("incomplete", None),
         "<cut>": ("truncated", None),
     }
+
+
+def test_smallest_page_id_under_several_urls(spark):
+    """As the query's SQL has it: all rows of the smallest page_id are responses, also under other urls."""
+    for copies in (False, True):
+        _, got = round_trip(spark, [(1, "b", "same"), (1, "a", "same"), (2, "c", "same")], copies=copies)
+        assert sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in got) == [
+            (1, "a", "response", None), (1, "b", "response", None), (2, "c", "revisit", 1),
+        ]
+
+
+def test_facts_without_payloads(spark):
+    """What pages need is read without sending on payloads that stand in one record."""
+    path, _ = round_trip(spark, [(1, "a", "short"), (2, "b", LONG), (3, "c", LONG)], segment=1000)
+    facts = read_archive(spark, path, payloads=False)
+    assert "payload" not in facts.columns
+    key = ["id", "status", "bytes", "sha1"]
+    assert sorted(map(str, facts.select(*key).collect())) == sorted(map(str, read_archive(spark, path).select(*key).collect()))

@@ -12,6 +12,7 @@ total length, joined, and the chunked framing is decoded.
 from __future__ import annotations
 
 import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,10 +41,6 @@ def base32(hexadecimal: F.Column) -> F.Column:
     return F.concat(*out)
 
 
-def payload_digest(payload: F.Column) -> F.Column:
-    return base32(F.sha1(payload))
-
-
 def _identifier(*parts: F.Column) -> F.Column:
     """A record identifier that depends on the parts alone."""
     sum_of = F.md5(F.concat_ws("\n", *[F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]))
@@ -85,8 +82,8 @@ def records(
 ) -> DataFrame:
     """The text of WARC records for ``pages`` (page_id, url, html), a row for each segment.
 
-    Of the pages with equal payloads of at least ``least`` bytes the one with the smallest page_id (then url; null last) is a
-    response and the others revisit it. A null html is an empty payload. Rows alike in page_id, url and html have the same
+    Of the pages with equal payloads of at least ``least`` bytes those with the smallest page_id (null last) are responses, and the others revisit
+    the first of them by url. A null html is an empty payload. Rows alike in page_id, url and html have the same
     identifier, so readers see one page; with ``copies`` they are numbered in it, so readers see each.
     """
     plain = pages.select(
@@ -106,7 +103,7 @@ def records(
             "first_id": _identifier(F.col("first.page_id"), F.col("first.url"), F.col("digest")),
         }
     )
-    revisit = F.coalesce(F.col("id") != F.col("first_id"), F.lit(False)) & F.col("first").isNotNull()
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     block = F.when(F.col("revisit"), F.lit(_HEAD).cast("binary")).otherwise(_framed(F.col("payload"), chunk))
     if copies:  # the first copy keeps the identifier to which revisits refer
         joined = joined.withColumn("revisit", revisit).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
@@ -198,32 +195,39 @@ def decode(block: bytes) -> bytes | None:
 
 _READ = (
     "id string, type string, page_id string, url string, digest string, refers_id string, origin string, number int, total long, "
-    "payload binary, segment binary, whole boolean"
+    "payload binary, bytes long, sha1 string, segment binary, whole boolean"
 )
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _reader(payloads: bool):
+    """Records of files; the payload of a record without segments comes with its size and SHA-1, and itself only if ``payloads`` are wanted."""
     names = [x.split()[0] for x in _READ.split(", ")]
-    for batch in batches:
-        for content in batch["content"]:
-            rows, held = [], 0
-            for head, block, whole in parse(content):
-                number = head.get("warc-segment-number")
-                kind = head.get("warc-type")
-                alone = number is None
-                row = (
-                    head.get("warc-record-id"), kind, head.get("x-page-id"), head.get("warc-target-uri"),
-                    head.get("warc-payload-digest"), head.get("warc-refers-to"),
-                    head.get("warc-segment-origin-id") or head.get("warc-record-id"), None if alone else int(number),
-                    int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None,
-                    decode(block) if alone and kind != "revisit" else None, None if alone else block, whole,
-                )
-                rows.append(row)
-                held += len(block)
-                if held > 1 << 24:
-                    yield pd.DataFrame(rows, columns=names, dtype=object)
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows, held = [], 0
+                for head, block, whole in parse(content):
+                    number = head.get("warc-segment-number")
+                    kind = head.get("warc-type")
+                    alone = number is None
+                    payload = decode(block) if alone and kind != "revisit" else None
+                    row = (
+                        head.get("warc-record-id"), kind, head.get("x-page-id"), head.get("warc-target-uri"),
+                        head.get("warc-payload-digest"), head.get("warc-refers-to"),
+                        head.get("warc-segment-origin-id") or head.get("warc-record-id"), None if alone else int(number),
+                        int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None,
+                        payload if payloads else None, None if payload is None else len(payload),
+                        None if payload is None else hashlib.sha1(payload).hexdigest(), None if alone else block, whole,
+                    )
+                    rows.append(row)
+                    held += len(block) if payloads or not alone else 0
+                    if held > 1 << 24 or len(rows) >= 1 << 14:
+                        yield pd.DataFrame(rows, columns=names, dtype=object)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return read
 
 
 @F.pandas_udf(BinaryType())
@@ -231,20 +235,23 @@ def _decoded(blocks: pd.Series) -> pd.Series:
     return blocks.map(lambda b: None if b is None else decode(bytes(b)))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archive: id, type, page_id, url, digest (as stated), refers_id, payload and status.
+def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row for each record of the archive: id, type, page_id, url, digest (as stated), refers_id, payload, its bytes and SHA-1, and status.
 
     status is complete, or says why a record has no payload: truncated (its file ends too early), incomplete (segments are
     missing), wrong length (segments do not add up to the total) or broken framing. A revisit has no payload of its own.
-    Records that repeat an identifier are one record. An empty folder gives no rows.
+    Records that repeat an identifier are one record. An empty folder gives no rows. Without ``payloads`` there is no such column, and of records
+    that are not in segments no content leaves the task that reads them.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    read = files.mapInPandas(_read, _READ)
+    read = files.mapInPandas(_reader(payloads), _READ)
     began = F.col("type") != "continuation"
     fields = ("id", "type", "page_id", "url", "digest", "refers_id")
     grouped = read.groupBy("origin").agg(
         *[F.max(F.when(began, F.col(f))).alias(f) for f in fields],
-        F.first("payload", ignorenulls=True).alias("alone"),
+        *([F.first("payload", ignorenulls=True).alias("alone")] if payloads else []),
+        F.max("bytes").alias("alone_bytes"),
+        F.max("sha1").alias("alone_sha1"),
         F.collect_set(F.when(F.col("number").isNotNull(), F.struct("number", "segment"))).alias("found"),
         F.max("total").alias("total"),
         F.min("whole").alias("whole"),
@@ -262,12 +269,18 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
     block = F.when(F.col("trouble").isNull() & (F.size("found") > 0), joined)
     decoded = parts.withColumn("trouble", trouble).withColumn("decoded", _decoded(block))
-    payload = F.when(F.col("trouble").isNull(), F.coalesce("alone", "decoded"))
-    broken = F.when((F.col("type") != "revisit") & F.col("payload").isNull(), "broken framing")
+    sound = F.col("trouble").isNull()
+    content = {
+        "bytes": F.when(sound, F.coalesce("alone_bytes", F.octet_length("decoded").cast("long"))),
+        "sha1": F.when(sound, F.coalesce("alone_sha1", F.sha1("decoded"))),
+    }
+    if payloads:
+        content["payload"] = F.when(sound, F.coalesce("alone", "decoded"))
+    broken = F.when((F.col("type") != "revisit") & F.col("bytes").isNull(), "broken framing")
     return (
-        decoded.withColumn("payload", payload)
+        decoded.withColumns(content)
         .withColumn("status", F.coalesce("trouble", broken, F.lit("complete")))
-        .select("id", "type", F.col("page_id").cast("long").alias("page_id"), "url", "digest", "refers_id", "payload", "status")
+        .select("id", "type", F.col("page_id").cast("long").alias("page_id"), "url", "digest", "refers_id", *sorted(content, reverse=True), "status")
     )
 
 
@@ -278,9 +291,9 @@ def read_pages(spark: SparkSession, path: str, store) -> DataFrame:
     response is not there or has another digest than the revisit states has the status "no response".
     ``store`` cuts the plan: it is given the narrow table of records.
     """
-    facts = read_archive(spark, path).select(
+    facts = read_archive(spark, path, payloads=False).select(
         "id", "type", "page_id", "url", F.regexp_replace("digest", "^sha1:", "").alias("stated"), "refers_id", "status",
-        F.octet_length("payload").cast("long").alias("bytes"), payload_digest(F.col("payload")).alias("computed"),
+        "bytes", base32(F.col("sha1")).alias("computed"),
     )
     facts = store(facts)
     own = facts.select(
