@@ -112,28 +112,34 @@ def chain_depths(records: DataFrame, ident: str, parent: str) -> DataFrame:
     )
 
 
-def rollback_candidates(deployments: DataFrame) -> DataFrame:
-    """Whether each deployment can be rolled back, the warnings, and the strategy to use."""
+def rollback_candidates(deployments: DataFrame, files: DataFrame) -> DataFrame:
+    """Each deployment's way back: warnings, the strategy to use, and how many files it touched.
+
+    A known deployment can always be rolled back; the warnings say that it has no snapshot, or that another deployment is the latest successful
+    one of its schema. Without a snapshot a deployment in progress is undone in its transaction, others step by step. ``files`` has a row (deployment_id)
+    for each file that a deployment executed.
+    """
     keys = ["database_name", "schema_name"]
-    newest = deployments.groupBy(*keys).agg(
-        F.max(F.struct("started_at", "deployment_id")).alias("__newest"), F.count("*").alias("deployments_in_schema")
+    latest = deployments.groupBy(*keys).agg(
+        F.max(F.when(F.col("state") == "completed", F.struct("started_at", "deployment_id"))).alias("__latest"),
+        F.count("*").alias("deployments_in_schema"),
     )
     # one row per schema on the right; a hot schema on the left is spread
     joined = skew_join(
         deployments.withColumn("__schema", F.struct(*keys)),
-        newest.select(F.struct(*keys).alias("__schema"), "__newest", "deployments_in_schema"),
+        latest.select(F.struct(*keys).alias("__schema"), F.col("__latest.deployment_id").alias("__latest"), "deployments_in_schema"),
         "__schema",
     )
-    is_newest = F.col("__newest.deployment_id") == F.col("deployment_id")
+    touched = files.groupBy("deployment_id").agg(F.count("*").alias("affected_files"))  # one row per deployment
+    joined = joined.join(touched, "deployment_id", "left")
     has_snapshot = F.col("snapshot_id").isNotNull()
     warnings = F.array_compact(
-        F.array(F.when(~has_snapshot, "no snapshot"), F.when(~is_newest, "newer deployment exists"))
+        F.array(F.when(~has_snapshot, "no snapshot"), F.when(F.col("__latest") != F.col("deployment_id"), "schema modified since"))
     )
     strategy = (
-        F.when(has_snapshot, "snapshot").when(F.col("state") == "failed", "transaction").otherwise("incremental")
+        F.when(has_snapshot, "snapshot").when(F.col("state") == "in_progress", "transaction").otherwise("incremental")
     )
     return joined.select(
-        "deployment_id", *keys, "state",
-        (has_snapshot & (F.col("state") != "in_progress")).alias("can_rollback"),
-        F.array_join(warnings, "; ").alias("warnings"), strategy.alias("strategy"), "deployments_in_schema",
+        "deployment_id", *keys, "state", F.lit(True).alias("can_rollback"), F.array_join(warnings, "; ").alias("warnings"),
+        strategy.alias("strategy"), F.coalesce("affected_files", F.lit(0).cast("long")).alias("affected_files"), "deployments_in_schema",
     )

@@ -90,11 +90,13 @@ def _(t):
 
 
 @query("rollback_candidates", """
-    WITH n AS (SELECT *, arg_max(deployment_id, (started_at, deployment_id)) OVER w AS newest, count(*) OVER w AS deployments_in_schema
-               FROM {deployments} WINDOW w AS (PARTITION BY database_name, schema_name))
-    SELECT deployment_id, database_name, schema_name, state, snapshot_id IS NOT NULL AND state <> 'in_progress' AS can_rollback,
-           concat_ws('; ', CASE WHEN snapshot_id IS NULL THEN 'no snapshot' END, CASE WHEN newest <> deployment_id THEN 'newer deployment exists' END) AS warnings,
-           CASE WHEN snapshot_id IS NOT NULL THEN 'snapshot' WHEN state = 'failed' THEN 'transaction' ELSE 'incremental' END AS strategy, deployments_in_schema
-    FROM n""")
+    WITH done AS (SELECT database_name, schema_name, arg_max(deployment_id, (started_at, deployment_id)) AS latest
+                  FROM {deployments} WHERE state = 'completed' GROUP BY ALL),
+    f AS (SELECT deployment_id, count(*) AS affected_files FROM {deployment_files} GROUP BY 1)
+    SELECT deployment_id, database_name, schema_name, state, true AS can_rollback,
+           concat_ws('; ', CASE WHEN snapshot_id IS NULL THEN 'no snapshot' END, CASE WHEN latest <> deployment_id THEN 'schema modified since' END) AS warnings,
+           CASE WHEN snapshot_id IS NOT NULL THEN 'snapshot' WHEN state = 'in_progress' THEN 'transaction' ELSE 'incremental' END AS strategy,
+           coalesce(affected_files, 0) AS affected_files, count(*) OVER (PARTITION BY database_name, schema_name) AS deployments_in_schema
+    FROM {deployments} LEFT JOIN done USING (database_name, schema_name) LEFT JOIN f USING (deployment_id)""")
 def _(t):
-    return history.rollback_candidates(t.deployments)
+    return history.rollback_candidates(t.deployments, t.deployment_files)

@@ -138,6 +138,8 @@ DERIVED: dict[str, str] = {
                CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'snap-' || o_orderkey END AS snapshot_id,
                o_orderpriority AS error_code
         FROM {orders}""",
+    "deployment_files": """
+        SELECT l_orderkey AS deployment_id, 'sql/' || l_linenumber || '_' || l_partkey || '.sql' AS path FROM {lineitem} WHERE l_linenumber > 1""",
     "query_log": """
         SELECT event_id, 'q' || event_id AS query_id, ts AS start_time, 'WH_' || (user_id % 5) AS warehouse,
                user_id, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
