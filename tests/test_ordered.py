@@ -47,6 +47,27 @@ def test_slices_split_a_hot_key_and_a_hot_instant(rows):
     assert largest < 200
 
 
+def test_cut_points_of_many_groups(rows):
+    """Cut points merged from many groups of input splits divide the rows evenly, and repeat a frequent value."""
+    from collections import Counter
+
+    spread = rows.repartition(150)
+    ((cuts, _), (ids, _)) = ordered._cut_points(spread, ["t", "id"], 64)
+    assert len(cuts) == len(ids) == 63
+    assert Counter(cuts)["500"] >= 20  # a third of the rows
+    ids = [int(i) for i in ids]
+    assert ids == sorted(ids) and max(b - a for a, b in zip(ids, ids[1:], strict=False)) < 3 * 6000 / 64
+    assert ordered._merged([], 64) == []
+
+
+def test_keys_of_several_columns_with_nulls(spark):
+    made = spark.range(900).selectExpr("id", "CASE WHEN id % 4 > 0 THEN id % 4 END AS a", "CASE WHEN id % 3 > 0 THEN CONCAT('k', id % 3) END AS b", "id * 37 % 500 AS t")
+    w = Window.partitionBy("a", "b").orderBy("t", "id")
+    got = ordered.ordered_by_key(made, ["a", "b"], ["t", "id"], lag={"before": "id"}, slices=7)
+    assert same(got, made.withColumn("before", F.lag("id").over(w)))
+    assert same(ordered.row_number_by_key(made, [], ["t", "id"], "n"), made.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("t", "id")).cast("long")))
+
+
 def test_percentiles(rows):
     got = ordered.percentiles_cont(rows, ["k"], "v", {"p50": 0.5, "p90": 0.9})
     want = rows.groupBy("k").agg(F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.9).alias("p90"))

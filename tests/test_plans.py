@@ -53,7 +53,20 @@ def test_top_n_limits_before_the_shuffle(spark):
 def test_window_partitions_carry_a_slice(spark):
     text = plan(contract.queries()["journey_steps"](spark, SF))
     for line in re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", text):
-        assert "user_id" in line
+        assert "__key" in line  # the struct of the keys, user_id
+
+
+def test_rows_of_a_slice_move_once(spark):
+    """One exchange of the rows serves the windows and the join; the other three carry a row per key and slice."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(contract.queries()["journey_steps"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", text)) <= 4
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]", text)
+    assert sum("event_id" in columns and "event_type" in columns for columns in moved) <= 1
 
 
 def test_columns_are_named(spark):

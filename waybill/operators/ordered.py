@@ -9,6 +9,9 @@ is the number of partitions that the session shuffles into, so slices shrink as
 (key, slice), and what has to cross a slice boundary (the last row, a subtotal) comes from
 a table with one row per (key, slice).
 
+The quantiles come from sketches that are merged in two levels, so no task takes a sketch from every input split. The rows of a key
+and a slice are moved once: windows and joins see keys as one struct that is never null, and agree on where its rows lie.
+
 A value so frequent that it fills several quantile steps is cut once more on the second
 order column, so ties do not defeat the slicing as long as ``order`` ends in a unique column.
 All orders are ascending with NULL first.
@@ -23,7 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 64  # at least
+SKETCHES = 64  # into which the sketches of the input splits are merged first
 _S, _T = SLICE_COLUMNS = "__slice", "__tie"
+KEY = _K = "__key"
 _TOTAL = "__total"
 
 
@@ -34,19 +39,33 @@ def slice_count(df: DataFrame) -> int:
 def _cut_points(df: DataFrame, columns: Sequence[str], slices: int) -> list[tuple[list[str], str]]:
     """Ascending cut points of each column as text, repeated where one value fills several steps, and their type.
 
-    They are read once (``slices - 1`` values per column) and become literals of the plan, so every
-    branch of a query cuts alike, also when tasks or stages are repeated. They decide balance only;
-    the coarse accuracy keeps the sketches that meet in the last task small.
+    They are read once and become literals of the plan, so every branch of a query cuts alike, also when tasks or stages are
+    repeated. They decide balance only. Input splits are dealt to ``SKETCHES`` groups; a task merges the sketches of a group, and
+    the driver merges the groups' quantiles, weighted by their rows: ``SKETCHES * (slices - 1)`` values per column, whatever the table's size.
     """
     steps = [i / slices for i in range(1, slices)]
     kinds = [df.schema[c].dataType.simpleString() for c in columns]
-    quantiles = []
-    for c, kind in zip(columns, kinds):
+    parts = []
+    for i, (c, kind) in enumerate(zip(columns, kinds, strict=True)):
         found = F.percentile_approx(c, steps, 4 * slices)
         # instants travel as microseconds: their text repeats an hour when clocks go back
-        quantiles.append((F.transform(found, F.unix_micros) if kind == "timestamp" else found).cast("array<string>"))
-    row = df.agg(*[q.alias(f"c{i}") for i, q in enumerate(quantiles)]).first()
-    return [(values or [], kind) for kind, values in zip(kinds, row)]
+        found = F.transform(found, F.unix_micros) if kind == "timestamp" else found
+        parts += [F.count(c).alias(f"n{i}"), found.alias(f"v{i}"), found.cast("array<string>").alias(f"t{i}")]
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("g")
+    groups = df.select(group, *columns).groupBy("g").agg(*parts).collect()  # SKETCHES rows at most
+    return [(_merged([(r[f"n{i}"], r[f"v{i}"], r[f"t{i}"]) for r in groups if r[f"n{i}"]], slices), kind) for i, kind in enumerate(kinds)]
+
+
+def _merged(groups: Sequence[tuple[int, Sequence, Sequence[str]]], slices: int) -> list[str]:
+    """The texts of the ``slices - 1`` quantiles of all groups: (rows, quantiles, their texts)."""
+    weighted = [(v != v, v, n, text) for n, values, texts in groups for v, text in zip(values, texts, strict=True)]
+    weighted.sort(key=lambda w: w[:2])  # NaN comes last, as Spark has it
+    total, upto, out = sum(w[2] for w in weighted), 0, []
+    for _, _, n, text in weighted:
+        upto += n
+        while len(out) < slices - 1 and upto * slices >= (len(out) + 1) * total:
+            out.append(text)
+    return out
 
 
 def _literals(values: Sequence[str], kind: str) -> Column:
@@ -87,17 +106,9 @@ def sliced(df: DataFrame, order: Sequence[str], slices: int | None = None, cuts_
     return out.withColumn(_T, F.when(is_frequent, tie).otherwise(F.lit(slices)))
 
 
-def join_slices(rows: DataFrame, per_slice: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cols = [*keys, _S, _T]
-    right = per_slice.select(
-        *[F.col(c).alias(f"__r_{i}") for i, c in enumerate(cols)],
-        *[c for c in per_slice.columns if c not in cols],
-    )
-    cond = None
-    for i, c in enumerate(cols):
-        same = F.col(c) == F.col(f"__r_{i}") if c in (_S, _T) else F.col(c).eqNullSafe(F.col(f"__r_{i}"))
-        cond = same if cond is None else cond & same
-    return rows.join(right, cond, "left").drop(*[f"__r_{i}" for i in range(len(cols))])
+def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the keys as one struct. It is never null and equal where the keys are, null with null, so that plain joins find it."""
+    return rows.withColumn(_K, F.struct(*keys) if keys else F.lit(True))
 
 
 def ordered_by_key(
@@ -119,11 +130,11 @@ def ordered_by_key(
     """
     lag, lead, running, last_known = lag or {}, lead or {}, running or {}, last_known or {}
     slices = slices or slice_count(df)
-    rows = sliced(df, order, slices)
+    rows = keyed(sliced(df, order, slices), keys)
     at = F.struct(*order)
-    inside = Window.partitionBy(*keys, _S, _T).orderBy(*order)
+    inside = Window.partitionBy(_K, _S, _T).orderBy(*order)
     here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    across = Window.partitionBy(*keys).orderBy(_S, _T)
+    across = Window.partitionBy(_K).orderBy(_S, _T)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
 
     def packed(values: Mapping[str, str]) -> Column:
@@ -149,9 +160,10 @@ def ordered_by_key(
         carry[f"__prior_{out}"] = F.last(f"__known_{out}", True).over(before)
         result[out] = F.coalesce(F.last(src, True).over(here), F.col(f"__prior_{out}"))
 
-    edges = rows.groupBy(*keys, _S, _T).agg(*[c.alias(n) for n, c in summary.items()])
-    edges = edges.select(*keys, _S, _T, *[c.alias(n) for n, c in carry.items()])
-    return join_slices(rows, edges, keys).select(*df.columns, *[c.alias(n) for n, c in result.items()])
+    edges = rows.groupBy(_K, _S, _T).agg(*[c.alias(n) for n, c in summary.items()])
+    edges = edges.select(_K, _S, _T, *[c.alias(n) for n, c in carry.items()])
+    joined = rows.join(edges, [_K, _S, _T], "left")
+    return joined.select(*df.columns, *[c.alias(n) for n, c in result.items()])
 
 
 def row_number_by_key(df, keys: Sequence[str], order: Sequence[str], out: str, slices: int | None = None) -> DataFrame:
@@ -163,25 +175,22 @@ def row_number_by_key(df, keys: Sequence[str], order: Sequence[str], out: str, s
 def rank_by_key(df, keys: Sequence[str], order: Sequence[str], out: str, slices: int | None = None) -> DataFrame:
     """``rank() OVER (PARTITION BY keys ORDER BY order[0])``; ``order[1]`` only spreads ties."""
     slices = slices or slice_count(df)
-    rows = sliced(df, order, slices)
-    counts = rows.groupBy(*keys, _S, _T).agg(F.count("*").alias("__n"))
-    by_slice = Window.partitionBy(*keys).orderBy(_S, _T).rowsBetween(Window.unboundedPreceding, -1)
-    by_value = Window.partitionBy(*keys).orderBy(_S).rangeBetween(Window.unboundedPreceding, -1)
+    rows = keyed(sliced(df, order, slices), keys)
+    counts = rows.groupBy(_K, _S, _T).agg(F.count("*").alias("__n"))
+    by_slice = Window.partitionBy(_K).orderBy(_S, _T).rowsBetween(Window.unboundedPreceding, -1)
+    by_value = Window.partitionBy(_K).orderBy(_S).rangeBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     offsets = counts.select(
-        *keys,
+        _K,
         _S,
         _T,
         F.when(F.col(_T) < slices, F.coalesce(F.sum("__n").over(by_value), zero))
         .otherwise(F.coalesce(F.sum("__n").over(by_slice), zero))
         .alias("__off"),
     )
-    inside = Window.partitionBy(*keys, _S, _T).orderBy(order[0])
-    return (
-        join_slices(rows, offsets, keys)
-        .withColumn(out, F.col("__off") + F.rank().over(inside))
-        .drop("__off", _S, _T)
-    )
+    inside = Window.partitionBy(_K, _S, _T).orderBy(order[0])
+    joined = rows.join(offsets, [_K, _S, _T], "left")
+    return joined.withColumn(out, F.col("__off") + F.rank().over(inside)).select(*df.columns, out)
 
 
 def values_at(df, keys: Sequence[str], value: str, picks: Mapping[str, Callable[[Column], Column]], slices: int | None = None) -> DataFrame:
@@ -195,20 +204,20 @@ def values_at(df, keys: Sequence[str], value: str, picks: Mapping[str, Callable[
     counts = given.groupBy(*keys, value).agg(F.count("*").alias("__n"))
     # a slice holds no more distinct values than rows, so cuts of the rows bound it as well
     slices = slices or slice_count(df)
-    rows = sliced(counts, [value], slices, cuts_from=given)
-    per_slice = rows.groupBy(*keys, _S, _T).agg(F.sum("__n").alias("__m"))
-    whole = Window.partitionBy(*keys)
+    rows = keyed(sliced(counts, [value], slices, cuts_from=given), keys)
+    per_slice = rows.groupBy(_K, _S, _T).agg(F.sum("__n").alias("__m"))
+    whole = Window.partitionBy(_K)
     before = whole.orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
-        *keys,
+        _K,
         _S,
         _T,
         F.coalesce(F.sum("__m").over(before), F.lit(0).cast("long")).alias("__off"),
         F.sum("__m").over(whole).alias("__total"),
     )
-    here = Window.partitionBy(*keys, _S, _T).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = Window.partitionBy(_K, _S, _T).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        join_slices(rows, offsets, keys)
+        rows.join(offsets, [_K, _S, _T], "left")
         .withColumn("__hi", F.col("__off") + F.sum("__n").over(here))
         .withColumn("__lo", F.col("__hi") - F.col("__n"))
     )
@@ -247,13 +256,13 @@ def percentiles_floor(df, keys: Sequence[str], value: str, points: Mapping[str,
     return values_at(df, keys, value, picks, slices).drop(_TOTAL)
 
 
-def newest_by_key(df, keys: Sequence[str], newest_first: Sequence[Column], spread: str, n: int, out: str = "rn", salts: int = 64) -> DataFrame:
-    """The first ``n`` rows per key with their row number.
+def newest_by_key(df, keys: Sequence[str], newest_first: Sequence[Column], spread: str, n: int, out: str = "rn", salts: int | None = None) -> DataFrame:
+    """The first ``n`` rows per key with their row number; ``salts`` is the number of partitions the session shuffles into unless it is given.
 
     ``spread`` is a near-unique column: rows are first cut to ``n`` per (key, salt), so a hot key
     reaches the final window as at most ``n * salts`` rows. Spark adds its own limit before each shuffle.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).alias("__salt")
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts or slice_count(df))).alias("__salt")
     first = Window.partitionBy(*keys, "__salt").orderBy(*newest_first)
     final = Window.partitionBy(*keys).orderBy(*newest_first)
     return (

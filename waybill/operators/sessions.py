@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.operators.ordered import SLICE_COLUMNS, join_slices, sliced
+from waybill.operators.ordered import KEY, SLICE_COLUMNS, keyed, sliced
 
 
 def sessions(
@@ -26,12 +26,12 @@ def sessions(
     the slice before and how many sessions came earlier; pieces of one session are added up last.
     """
     gap = F.expr(f"INTERVAL '{gap_minutes}' MINUTE")
-    within = [user, *SLICE_COLUMNS]
+    within = [KEY, *SLICE_COLUMNS]
     inside = Window.partitionBy(*within).orderBy(ts, event_id)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opens = F.when(F.col(ts) - F.lag(ts).over(inside) > gap, 1).otherwise(0).cast("long")
     pieces = (
-        sliced(events, [ts, event_id])
+        keyed(sliced(events, [ts, event_id]), [user])
         .withColumn("__opens", opens)
         .withColumn("__piece", F.sum("__opens").over(running))
         .groupBy(*within, "__piece")
@@ -42,7 +42,7 @@ def sessions(
             *[F.count_if(cond).alias(f"__n_{name}") for name, cond in counts.items()],
         )
     )
-    across = Window.partitionBy(user).orderBy(*SLICE_COLUMNS)
+    across = Window.partitionBy(KEY).orderBy(*SLICE_COLUMNS)
     before = F.lag("__last").over(across)
     starts_new = F.when(before.isNull() | (F.col("__first") - before > gap), 1).otherwise(0).cast("long")
     offsets = (
@@ -53,8 +53,8 @@ def sessions(
         .select(*within, (F.col("__upto") - F.col("__inner")).alias("__offset"))
     )
     return (
-        join_slices(pieces, offsets, [user])
-        .groupBy(user, (F.col("__offset") + F.col("__piece")).alias("session_no"))
+        pieces.join(offsets, within, "left")
+        .groupBy(F.col(KEY)[user].alias(user), (F.col("__offset") + F.col("__piece")).alias("session_no"))
         .agg(
             F.min("__start").alias("session_start"),
             F.max("__end").alias("session_end"),
