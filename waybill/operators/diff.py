@@ -258,20 +258,30 @@ def row_snapshot_diff(old: DataFrame, new: DataFrame, key: str, keep_equal: bool
     columns = [c for c in old.columns if c != key]
     a = old.select(key, row_checksum(columns).alias("old_checksum"))
     b = new.select(key, row_checksum(columns).alias("new_checksum"))
+    return row_verdicts(a, b, key, keep_equal)
+
+
+def row_verdicts(old: DataFrame, new: DataFrame, key: str, keep_equal: bool = False) -> DataFrame:
+    """What became of each key, from (key, old_checksum) and (key, new_checksum)."""
     verdict = (
         F.when(F.col("old_checksum").isNull(), "added")
         .when(F.col("new_checksum").isNull(), "removed")
         .when(F.col("old_checksum") != F.col("new_checksum"), "modified")
         .otherwise("equal")
     )
-    out = a.join(b, key, "full_outer").withColumn("verdict", verdict)
+    out = old.join(new, key, "full_outer").withColumn("verdict", verdict)
     return out if keep_equal else out.where(F.col("verdict") != "equal")
 
 
+def undoing(verdicts: DataFrame, key: str) -> DataFrame:
+    """Operation per key that takes the new version back to the old."""
+    op = F.when(F.col("verdict") == "added", "DROP").when(F.col("verdict") == "modified", "REPLACE").otherwise("CREATE")
+    return verdicts.select(key, op.alias("op"))
+
+
 def restore_operations(snapshot: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """Operation per key that takes ``current`` back to ``snapshot``."""
-    op = F.when(F.col("verdict") == "added", "DROP").when(F.col("verdict") == "modified", "REPLACE").otherwise("CREATE")
-    return row_snapshot_diff(snapshot, current, key).select(key, op.alias("op"))
+    return undoing(row_snapshot_diff(snapshot, current, key), key)
 
 
 def only_in_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from waybill.operators import diff, rows, writes
 from waybill.operators.skew import skew_join
 from waybill.plans.registry import query
+from waybill.plans.streams import delivered
 from waybill.session import fresh_dir
+from waybill.sources import changelog, hashtree
 
 
 def _norm(c: str) -> str:
@@ -175,6 +177,27 @@ def _(t):
     return diff.restore_operations(t.orders, t.orders_target, "o_orderkey")
 
 
+@query("row_snapshot_diff_stored", VERDICT + " SELECT o_orderkey, verdict FROM v WHERE verdict <> 'equal'")
+def _(t):
+    old, new = _stored_versions(t)
+    return hashtree.stored_diff(old, new, t.orders, "o_orderkey").select("o_orderkey", "verdict")
+
+
+@query("restore_operations_stored", VERDICT + """
+    SELECT o_orderkey, CASE verdict WHEN 'added' THEN 'DROP' WHEN 'modified' THEN 'REPLACE' ELSE 'CREATE' END AS op FROM v WHERE verdict <> 'equal'""")
+def _(t):
+    old, new = _stored_versions(t)
+    return hashtree.stored_restore(old, new, t.orders, "o_orderkey")
+
+
+def _stored_versions(t):
+    """Two versions of the orders with their hash trees."""
+    roots = [fresh_dir(t.spark, "version") for _ in range(2)]
+    for table, root in zip((t.orders, t.orders_target), roots, strict=True):
+        hashtree.store(table.select(*t.orders_target.columns), "o_orderkey", root)
+    return roots
+
+
 @query("only_in_source", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {orders_target})")
 def _(t):
     return diff.only_in_left(t.orders, t.orders_target, "o_orderkey")
@@ -318,3 +341,35 @@ def _(t):
     # staged once, checked on the staged rows, and only then handed on
     staged = writes.written(out, fresh_dir(t.spark, "migrate"))
     return gate(staged, [Rule("id given", "order_id IS NOT NULL", "ERROR"), Rule("positive", "total_amount > 0", "CRITICAL")])
+
+
+LOGGED = """f AS (SELECT o_custkey AS k, o_orderkey AS seq, o_totalprice AS v, CASE o_orderkey % 5 WHEN 0 THEN 'insert' WHEN 1 THEN 'delete' ELSE 'update' END AS change,
+                o_orderkey // 4 % 3 AS version FROM orders)"""
+
+
+def _net(name: str, after: int) -> str:
+    """The changes of versions after one, as a consumer sees them."""
+    return f"""SELECT '{name}' AS consumer, k, CASE WHEN first = 'insert' THEN 'insert' WHEN last = 'delete' THEN 'delete' ELSE 'update' END AS change, v
+        FROM (SELECT k, arg_min(change, (version, seq)) AS first, arg_max(change, (version, seq)) AS last, arg_max(v, (version, seq)) AS v FROM f WHERE version > {after} GROUP BY k)
+        WHERE NOT (first = 'insert' AND last = 'delete')"""
+
+
+@query("cdc_since_last_read", f"WITH {LOGGED} {_net('ahead', 1)} UNION ALL {_net('behind', 0)} UNION ALL {_net('new', -1)}")
+def _(t):
+    """Three deliveries; one consumer reads after each, one after the first only, one never before the end."""
+    kind = F.when(F.col("seq") % 5 == 0, "insert").when(F.col("seq") % 5 == 1, "delete").otherwise("update").alias("change")
+    feed = t.orders.select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"))
+    feed = feed.select(kind, "seq", "k", "v", F.expr("seq div 4 % 3").alias("delivery"))
+    schema, seen = feed.drop("delivery").schema, []
+
+    def job(changes, root):
+        changelog.log_changes(changes.drop("delivery"), f"{root}/log")
+        readers = {name: changelog.Consumer(t.spark, f"{root}/log", name, schema, "k") for name in ("ahead", "behind", "new")}
+        seen.append(1)
+        found = [r.read().select(F.lit(name).alias("consumer"), "k", "change", "v") for name, r in readers.items()]
+        if len(seen) < 3:
+            for name in ("ahead",) if len(seen) == 2 else ("ahead", "behind"):
+                readers[name].done()
+        return found[0].unionByName(found[1]).unionByName(found[2])
+
+    return delivered(t, feed, job, F.col("delivery"))

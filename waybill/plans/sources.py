@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waybill.operators import monitor, rows, writes
 from waybill.plans.registry import query
 from waybill.session import fresh_dir
-from waybill.sources import backup, bulk, export
+from waybill.sources import backup, bulk, export, hashtree
 
 
 @query("table_copy", "SELECT * FROM orders")
@@ -138,6 +138,20 @@ def _(t):
     return backup.backup_verify({"orders": t.orders, "changed": t.orders}, stored)
 
 
+@query("backup_verify_stored", """
+    SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM orders) AS backup_rows, true AS verified, 0::BIGINT AS changed_rows
+    UNION ALL SELECT 'changed', (SELECT count(*) FROM orders WHERE o_orderkey % 1000 <> 8), (SELECT count(*) FROM orders), false,
+                     (SELECT count(*) FROM orders WHERE o_orderkey % 1000 BETWEEN 7 AND 8)""")
+def _(t):
+    root = fresh_dir(t.spark, "stored")
+    hashtree.store(t.orders, "o_orderkey", root)
+    price = F.when(F.col("o_orderkey") % 1000 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    changed = t.orders.where("o_orderkey % 1000 <> 8").withColumn("o_totalprice", price)
+    checks = {name: hashtree.stored_verify(table, root, "o_orderkey") for name, table in (("orders", t.orders), ("changed", changed))}
+    parts = [check.select(F.lit(name).alias("table_name"), "*") for name, check in checks.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query("restore_filtered", "SELECT * FROM {orders_target} UNION ALL SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {orders_target})")
 def _(t):
     root = fresh_dir(t.spark, "restore")
