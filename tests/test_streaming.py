@@ -215,3 +215,58 @@ def test_chain_as_events_arrive(spark):
     heads = audit.chain_heads(first, "log", "part", "payload")
     more = keyed.chained(stream(rest), fresh_dir(spark, "chain"), "log", "part", ["id"], "payload", heads)
     assert rows(first.select(*names).unionByName(more.select(*names)), *names) == want
+
+
+def test_sessions_are_merged_before_the_shuffle(spark, monkeypatch):
+    """A hot user's events reach the state as sessions of each input split."""
+    queries = []
+    monkeypatch.setattr(jobs, "run_to_end", lambda stream, root, *rest: queries.append(run(stream, root, *rest)) or queries[-1])
+    run = __import__("waybill.streaming.runner", fromlist=["run_to_end"]).run_to_end
+    minute = "timestampadd(MINUTE, CAST(id AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00')"
+    hot = spark.range(3000).selectExpr("IF(id % 3 = 0, 1L, id % 50) AS user_id", f"{minute} AS ts", "'view' AS event_type", "id")
+    path = replay(spark, hot, F.floor(F.col("id") / 1500).cast("int"), 2)
+    found = jobs.closed_sessions(file_stream(spark, path, hot.schema, max_files=1), fresh_dir(spark, "s"), "200 minutes", "1 hour")
+    plan = queries[0]._jsq.explainInternal(False)
+    assert "MergingSessions" in plan and plan.index("SessionWindowStateStoreRestore") < plan.rindex("MergingSessions")
+    assert plan.count("MergingSessions") >= 2
+    assert spark.conf.get("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition") == "false"
+    assert found.count() == 0  # all sessions go on to the end
+
+
+def test_update_sinks_read_a_snapshot_and_what_came_after(spark, tables, monkeypatch):
+    from waybill.streaming import runner
+
+    monkeypatch.setattr(runner, "MERGE_EVERY", 2)
+    table = tables.events.select("event_type", "value", "event_id").limit(70).cache()
+    path, root = replay(spark, table, F.pmod(F.col("event_id"), F.lit(5)).cast("int"), 5), fresh_dir(spark, "m")
+    got = jobs.running_metrics(file_stream(spark, path, table.schema, max_files=1), root, "event_type", "value")
+    want = table.groupBy("event_type").agg(F.count("*").alias("count"), F.max("value").alias("max_value"))
+    columns = ["event_type", "count", "max_value"]
+    assert rows(got, *columns) == rows(want, *columns)
+    assert runner.partition_values(spark.read.parquet(f"{root}/snapshot"), "upto") == [(1,), (3,)]
+    # of five batches only the last is read besides the snapshot
+    read = {f for f in got.select("event_type").inputFiles() if "/data/" in f}
+    plan = got._jdf.queryExecution().toString()
+    assert "upto" in plan and read
+    scans = [line for line in plan.splitlines() if "PartitionFilters" in line]
+    assert any("(batch" in line and "> 3" in line for line in scans)
+    # a batch is repeated: its snapshot comes from the batches before it
+    again = runner.latest_rows(spark, root, ["event_type"], upto=1)
+    assert rows(again, *columns) == rows(spark.read.parquet(f"{root}/snapshot/upto=1"), *columns)
+
+
+def test_old_versions_of_an_image_are_not_read(spark):
+    import glob
+
+    base = spark.createDataFrame([(k, "a") for k in range(40)], "k long, v string")
+    feed = spark.createDataFrame([("update", s, k, f"b{s}") for s in (1, 2) for k in range(40)], "change string, seq int, k long, v string")
+    path, root = replay(spark, feed, F.col("seq") - 1, 2), fresh_dir(spark, "cdc")
+    got = jobs.apply_changes(file_stream(spark, path, feed.schema, max_files=1), base, "k", root, buckets=4)
+    spoilt = [f for f in glob.glob(f"{root.removeprefix('file:')}/image/*/*/*.parquet") if "__version=2" not in f]
+    assert spoilt
+    for file in spoilt:
+        with open(file, "wb") as out:
+            out.write(b"not parquet")
+    assert rows(got, "k", "v") == sorted((str(k), "b2") for k in range(40))
+    # a later start keeps the number of buckets it began with
+    assert rows(jobs.apply_changes(file_stream(spark, path, feed.schema, max_files=1), base, "k", root, buckets=9), "k", "v") == rows(got, "k", "v")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.functions.convert import convert, value_map
@@ -24,6 +26,16 @@ class Registry:
     def register(self, name: str, function: Callable) -> None:
         self._known[name.upper()] = function
 
+    def register_vectorised(self, spark: SparkSession, name: str, function: Callable[..., pa.Array], returns: str) -> None:
+        """Add a function from Arrow arrays to one Arrow array of type ``returns``, for what Spark's own functions cannot say.
+
+        It runs on batches in Python workers, and is known in expression text and SQL of the session under the same name, too. Each call
+        gets arrays of one length and gives an array of that length; nulls are part of them.
+        """
+        made = F.arrow_udf(_annotated(function), returns)
+        spark.udf.register(name, made)
+        self.register(name, lambda *columns: made(*columns))
+
     def __getitem__(self, name: str) -> Callable:
         try:
             return self._known[name.upper()]
@@ -31,6 +43,21 @@ class Registry:
             raise KeyError(f"no {self._kind} named {name}; known: {sorted(self._known)}") from None
 
 
+def _annotated(function: Callable) -> Callable:
+    """The function with Arrow types on all parameters, which tell Spark that it works on arrays."""
+
+    def called(*arrays):
+        return function(*arrays)
+
+    names = list(inspect.signature(function).parameters)
+    called.__annotations__ = {**dict.fromkeys(names, pa.Array), "return": pa.Array}
+    called.__signature__ = inspect.Signature(
+        [inspect.Parameter(n, inspect.Parameter.POSITIONAL_ONLY, annotation=pa.Array) for n in names], return_annotation=pa.Array
+    )
+    called.__name__ = getattr(function, "__name__", "function")
+    return called
+
+
 def _lookup(c: Column, mapping: Mapping[str, str], default: str | None = None) -> Column:
     return value_map(c, mapping, default)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from waybill.functions import calendar, privacy, sampling, sqltext, text
@@ -496,6 +497,28 @@ def _(t):
     return rows.transform_rows(t.customer, steps, known).select("c_custkey", "segment", "prefix")
 
 
+def _backwards(texts):
+    return pc.utf8_reverse(texts)
+
+
+def _spread(values, others):
+    return pc.max_element_wise(values, others, skip_nulls=False)
+
+
+@query("register_vectorised", """
+    SELECT c_custkey, reverse(c_name) AS backwards, reverse(c_mktsegment) || '!' AS in_text, greatest(c_acctbal, c_custkey::DOUBLE) AS larger FROM customer""")
+def _(t):
+    known = transforms()
+    known.register_vectorised(t.spark, "BACKWARDS", _backwards, "string")
+    known.register_vectorised(t.spark, "LARGER_OF", _spread, "double")
+    steps = [
+        Transform("c_name", "backwards", "BACKWARDS"),
+        Transform("c_mktsegment", "in_text", "COMPUTE", {"expression": "BACKWARDS(c_mktsegment) || '!'"}),
+        Transform("c_acctbal", "larger", "COMPUTE", {"expression": "LARGER_OF(c_acctbal, CAST(c_custkey AS DOUBLE))"}),
+    ]
+    return rows.transform_rows(t.customer, steps, known).select("c_custkey", "backwards", "in_text", "larger")
+
+
 @query("register_validator", """
     SELECT 'cheap' AS rule, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS result, n AS failed_rows
     FROM (SELECT count(*) FILTER (p_retailprice > 1800) AS n FROM part)

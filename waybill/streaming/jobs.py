@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from waybill.operators.monitor import query_log_aggregates
 from waybill.operators.writes import upserted
 from waybill.streaming.keyed import once_per
-from waybill.streaming.runner import as_instant, as_zone_free, batch_folder, late_rows, latest_rows, run_to_end, sink_rows
+from waybill.streaming.runner import as_instant, as_zone_free, batch_folder, late_rows, latest_rows, partition_values, run_to_end, setting, sink_rows, updates
 
 
 def _instants(stream: DataFrame, ts: str) -> DataFrame:
@@ -27,7 +29,7 @@ def sliding_query_metrics(log: DataFrame, root: str, width: str = "5 minutes", e
         .select(as_zone_free(F.col("w.start")).alias("window_start"), "*")
         .drop("w")
     )
-    run_to_end(windows, root, "update")
+    run_to_end(windows, root, "update", updates(root, ["window_start"]))
     return latest_rows(log.sparkSession, root, ["window_start"])
 
 
@@ -39,12 +41,17 @@ def tumbling_credits(log: DataFrame, root: str, width: str = "1 day") -> DataFra
         .agg((F.sum(F.col("compute_centi") * 10 + F.col("cloud_milli")).cast("double") / 1000.0).alias("credits"), F.count("*").alias("query_count"))
         .select(as_zone_free(F.col("w.start")).alias("window_start"), "warehouse", "credits", "query_count")
     )
-    run_to_end(windows, root, "update")
-    return latest_rows(log.sparkSession, root, ["window_start", "warehouse"])
+    keys = ["window_start", "warehouse"]
+    run_to_end(windows, root, "update", updates(root, keys))
+    return latest_rows(log.sparkSession, root, keys)
 
 
 def closed_sessions(events: DataFrame, root: str, gap: str, delay: str) -> DataFrame:
-    """Sessions by inactivity gap, given out once the watermark has passed their end."""
+    """Sessions by inactivity gap, given out once the watermark has passed their end.
+
+    Events of a user that one task reads are merged to sessions before they are shuffled, so a hot user costs the state's task a row per
+    session and input split, not per event.
+    """
     kind = F.col("event_type")
     found = (
         _instants(events, "ts")
@@ -59,7 +66,8 @@ def closed_sessions(events: DataFrame, root: str, gap: str, delay: str) -> DataF
             "events_count", "page_views", (F.col("purchases") > 0).alias("conversion"),
         )
     )
-    run_to_end(found, root)
+    with setting(events.sparkSession, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"):
+        run_to_end(found, root)
     return sink_rows(events.sparkSession, root).drop("batch")
 
 
@@ -77,7 +85,7 @@ def hourly_counts_with_retention(events: DataFrame, root: str, keep: str = "24 h
         .select(as_zone_free(F.col("w.start")).alias("window_start"), "n")
     )
     with late_rows(events.sparkSession) as late:
-        query = run_to_end(counts, root, "update")
+        query = run_to_end(counts, root, "update", updates(root, ["window_start"]))
     return latest_rows(events.sparkSession, root, ["window_start"]), late(query)
 
 
@@ -114,15 +122,19 @@ def pipe_ingest(lines: DataFrame, root: str, fields: dict[str, tuple[str, str]],
     return sink_rows(spark, root, "loaded").drop("batch"), sink_rows(spark, root, "rejected").drop("batch")
 
 
-def apply_changes(feed: DataFrame, base: DataFrame, key: str, root: str, buckets: int = 64) -> DataFrame:
+#: Rows of a bucket of an image, when it is first written.
+BUCKET_ROWS = 1_000_000
+
+
+def apply_changes(feed: DataFrame, base: DataFrame, key: str, root: str, buckets: int | None = None) -> DataFrame:
     """Apply a change feed (``change``, ``seq``, key, columns) to a table; returns the image after all changes.
 
-    The image lies in ``buckets`` folders by key hash, each in versions; a micro-batch writes a new version of the buckets that it
-    touches. Within a batch the change with the highest ``seq`` wins per key. Called again with the same ``root`` the job goes
+    The image lies in folders by key hash, each in versions; a micro-batch writes a new version of the buckets that it
+    touches, and only the newest version of a bucket is ever read. There are as many buckets as the table needs at ``BUCKET_ROWS`` when the job first starts, 64 at
+    least. Within a batch the change with the highest ``seq`` wins per key. Called again with the same ``root`` the job goes
     on where it ended; a batch that is repeated starts from the versions before it.
     """
     spark, columns, path = base.sparkSession, base.columns, f"{root}/image"
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("__bucket")
     schema = T.StructType([*base.schema, T.StructField("__live", T.BooleanType()), T.StructField("__bucket", T.IntegerType()), T.StructField("__version", T.LongType())])
 
     def put(rows: DataFrame, version: int) -> None:
@@ -131,9 +143,12 @@ def apply_changes(feed: DataFrame, base: DataFrame, key: str, root: str, buckets
 
     def image(upto: int | None = None) -> DataFrame:
         rows = spark.read.schema(schema).parquet(path)
-        rows = rows if upto is None else rows.where(F.col("__version") <= upto)
-        newest = rows.groupBy("__bucket").agg(F.max("__version").alias("__version"))  # a row per bucket
-        return rows.join(F.broadcast(newest), ["__bucket", "__version"]).where("__live").select(*columns, "__bucket")
+        newest: dict[int, int] = {}
+        for b, version in partition_values(rows, "__bucket", "__version"):  # ascending
+            if upto is None or version <= upto:
+                newest[b] = version
+        place = F.concat_ws(":", F.col("__bucket").cast("string"), F.col("__version").cast("string"))  # folders alone decide
+        return rows.where(place.isin([f"{b}:{v}" for b, v in newest.items()])).where("__live").select(*columns, "__bucket")
 
     def write(changes: DataFrame, batch: int) -> None:
         rest = [c for c in changes.columns if c != key]
@@ -147,12 +162,14 @@ def apply_changes(feed: DataFrame, base: DataFrame, key: str, root: str, buckets
         put(merged.select(*columns, F.lit(True).alias("__live"), bucket).unionByName(empty), batch + 1)
         latest.unpersist()
 
-    started = f"{root}/started"
-    try:
-        spark.read.schema("id long").parquet(started)
-    except AnalysisException:  # the first start: no such folder
+    started, known = f"{root}/started", None
+    with suppress(AnalysisException):  # before the first start there is no such folder
+        known = spark.read.schema("buckets int").parquet(started).first()[0]
+    buckets = known or buckets or max(64, -(-base.count() // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("__bucket")
+    if known is None:
         put(base.select(*columns, F.lit(True).alias("__live"), bucket), 0)
-        spark.range(1).write.parquet(started)
+        spark.createDataFrame([(buckets,)], "buckets int").write.parquet(started)
     run_to_end(feed, root, write=write)
     return image().select(*columns)
 
@@ -172,7 +189,7 @@ def running_metrics(points: DataFrame, root: str, name: str, value: str) -> Data
         F.count("*").alias("count"), F.min(value).alias("min_value"), F.max(value).alias("max_value"),
         (F.sum(exact).cast("double") / F.count(exact)).alias("mean_value"),
     )
-    run_to_end(state, root, "update")
+    run_to_end(state, root, "update", updates(root, [name]))
     return latest_rows(points.sparkSession, root, [name])
 
 
@@ -202,7 +219,7 @@ def active_users_stream(events: DataFrame, root: str, user: str, ts: str) -> Dat
         .agg(F.approx_count_distinct(user, 0.02).alias("active_users"))
         .select(as_zone_free(F.col("w.start")).alias("window_start"), "active_users")
     )
-    run_to_end(counts, root, "update")
+    run_to_end(counts, root, "update", updates(root, ["window_start"]))
     return latest_rows(events.sparkSession, root, ["window_start"])
 
 
@@ -215,6 +232,6 @@ def error_rate_windows(events: DataFrame, root: str, ts: str, width: str, failed
         .agg(F.count("*").alias("total"), F.count_if(failed).alias("failed"))
         .select(as_zone_free(F.col("w.start")).alias("window_start"), "total", "failed")
     )
-    run_to_end(counts, root, "update")
+    run_to_end(counts, root, "update", updates(root, ["window_start"]))
     final = latest_rows(events.sparkSession, root, ["window_start"])
     return final.withColumn("error_rate", F.col("failed").cast("double") / F.col("total")).where(F.col("error_rate") > limit)

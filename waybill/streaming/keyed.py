@@ -7,7 +7,6 @@ A micro-batch brings the rows of a key in no order; they are gathered and sorted
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from hashlib import sha256
 from itertools import chain
 
@@ -19,21 +18,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from waybill.operators.audit import anchor_of, link_after, part_of
-from waybill.streaming.runner import as_instant, as_zone_free, run_to_end, sink_rows
+from waybill.streaming.runner import as_instant, as_zone_free, run_to_end, setting, sink_rows
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
+def rocksdb(spark: SparkSession):
     """Queries started inside keep their state in RocksDB, which ``transformWithState`` asks for."""
-    usual = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(_PROVIDER, usual)
+    return setting(spark, _PROVIDER, _ROCKSDB)
 
 
 def _as_key(c: Column) -> Column:

@@ -6,11 +6,13 @@ from the checkpoint never doubles rows.
 
 from __future__ import annotations
 
+import re
 import threading
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,17 @@ def batch_folder(root: str, name: str = "data") -> Callable[[DataFrame, int], No
     return write
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Queries started inside run with another setting; they keep it for their life."""
+    usual = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if usual is None else spark.conf.set(name, usual)
+
+
 def run_to_end(stream: DataFrame, root: str, mode: str = "append", write: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     query = start(stream, root, write or batch_folder(root), mode)
     query.awaitTermination()
@@ -105,8 +118,59 @@ def sink_rows(spark: SparkSession, root: str, name: str = "data") -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
-def latest_rows(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
-    """Rows of an update-mode sink as of the last batch that touched each key."""
-    rows = sink_rows(spark, root)
+#: Micro-batches of an update-mode sink after which its rows are merged into a snapshot.
+MERGE_EVERY = 16
+
+
+def partition_values(rows: DataFrame, *names: str) -> list[tuple[int, ...]]:
+    """Numbers of the partition folders that a table has, from the listing of its files; nothing is read."""
+    pattern = re.compile("/".join(rf"{n}=(\d+)" for n in names) + "/")
+    return sorted({tuple(map(int, m.groups())) for f in rows.inputFiles() if (m := pattern.search(f))})
+
+
+def _snapshot(spark: SparkSession, root: str) -> tuple[int, DataFrame | None]:
+    """The newest snapshot of an update-mode sink and the last batch in it; -1 and none before the first."""
+    try:
+        rows = spark.read.parquet(f"{root}/snapshot")
+    except AnalysisException:
+        return -1, None
+    newest = max(partition_values(rows, "upto"), default=(-1,))[0]
+    return newest, rows.where(F.col("upto") == newest).drop("upto")
+
+
+def _latest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def updates(root: str, keys: Sequence[str], every: int | None = None) -> Callable[[DataFrame, int], None]:
+    """Sink for update mode: a folder per micro-batch, and every so many batches a snapshot of the latest row per key.
+
+    A repeated batch replaces its folder and, where it ends a snapshot, that snapshot, from the one before.
+    """
+    every, put = every or MERGE_EVERY, batch_folder(root)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        put(rows, batch)
+        if (batch + 1) % every == 0:
+            merged = latest_rows(rows.sparkSession, root, keys, upto=batch)
+            merged.write.mode("overwrite").parquet(f"{root}/snapshot/upto={batch}")
+
+    return write
+
+
+def latest_rows(spark: SparkSession, root: str, keys: Sequence[str], upto: int | None = None) -> DataFrame:
+    """Rows of an update-mode sink as of the last batch that touched each key: the newest snapshot and the batches after it.
+
+    ``upto`` leaves out later batches, and snapshots that hold that batch.
+    """
+    last, snapshot = _snapshot(spark, root)
+    rows = sink_rows(spark, root)
+    if upto is not None:
+        rows = rows.where(F.col("batch") <= upto)
+        if last >= upto:  # a batch is repeated: its snapshot is made again, from the batches
+            last, snapshot = -1, None
+    if snapshot is None:
+        return _latest(rows, keys)
+    known = snapshot.withColumn("batch", F.lit(last))
+    return _latest(known.unionByName(rows.where(F.col("batch") > last).select(*known.columns)), keys)
