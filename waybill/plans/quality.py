@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waybill.functions.numbers import price
-from waybill.operators import quality, reconcile
+from waybill.operators import quality, reconcile, sketches
 from waybill.plans.registry import query
 from waybill.sources import profile
 
@@ -61,6 +61,21 @@ def _bytes_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("table_profile_estimates", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, true AS within_error FROM {{orders_staged}}" for c in PROFILED
+))
+def _(t):
+    """Estimates of one scan, held against exact counts, 3 standard errors apart at most."""
+    table = t.orders_staged.select(*PROFILED)
+    exact = table.agg(*[F.countDistinct(c).alias(c) for c in PROFILED])
+    exact = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in PROFILED])).alias("e")).select("e.*")
+    close = F.abs(F.col("distinct_estimate") - F.col("exact")) <= F.greatest(F.lit(1), 3 * 1.04 / 2 ** (sketches.LG / 2) * F.col("exact"))
+    return sketches.profile_estimates(table).join(exact, "column_name").select("column_name", "rows", "nulls", close.alias("within_error"))
+
+
 @query("readiness_rowstats", _bytes_sql())
 def _(t):
     return profile.row_stats(_star(t))

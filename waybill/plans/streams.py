@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waybill.operators import cooldown, monitor, windows
+from waybill.operators import cooldown, monitor, sketches, windows
 from waybill.plans.monitor import ALERTS, CREDITS, LOG_AGGS
 from waybill.plans.registry import query
 from waybill.plans.tables import DERIVED, _dialect
@@ -214,6 +214,23 @@ def _(t):
     return windows.heartbeats_by_day(t.events, "user_id", "ts", "event_id")
 
 
+USERS = "SELECT '{0}' AS period, date_trunc('{0}', ts)::TIMESTAMP AS period_start, count(*) AS n, true AS within_error FROM events GROUP BY ALL"
+
+
+@query("active_users_stream", " UNION ALL ".join(USERS.format(p) for p in ("day", "week", "month")))
+def _(t):
+    """Sketches of days from a stream, merged to weeks and months; the estimates are held against exact counts, 3 standard errors apart at most."""
+    days = delivered(t, t.events, lambda events, root: jobs.active_user_sketches(events, root, "user_id", "ts"))
+    parts = []
+    for period in ("day", "week", "month"):
+        start = F.date_trunc(period, F.col("window_start")).cast("timestamp_ntz").alias("period_start")
+        found = sketches.estimated(sketches.merged(days.select(start, "rows", "sketch"), ["period_start"]), "users")
+        exact = t.events.groupBy(F.date_trunc(period, F.col("ts")).cast("timestamp_ntz").alias("period_start")).agg(F.countDistinct("user_id").alias("exact"))
+        close = F.abs(F.col("users") - F.col("exact")) <= F.greatest(F.lit(1), 3 * 1.04 / 2 ** (sketches.LG / 2) * F.col("exact"))
+        parts.append(found.join(exact, "period_start").select(F.lit(period).alias("period"), "period_start", F.col("rows").alias("n"), close.alias("within_error")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("active_users_window", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(DISTINCT user_id) AS active_users FROM events GROUP BY 1")
 def _(t):
     return windows.active_users(t.events, "ts", "user_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waybill.operators.monitor import query_log_aggregates
+from waybill.operators.sketches import sketch_of
 from waybill.operators.writes import upserted
 from waybill.streaming.keyed import once_per
 from waybill.streaming.runner import as_instant, as_zone_free, batch_folder, late_rows, latest_rows, partition_values, run_to_end, setting, sink_rows, updates
@@ -223,6 +224,22 @@ def active_users_stream(events: DataFrame, root: str, user: str, ts: str) -> Dat
     return latest_rows(events.sparkSession, root, ["window_start"])
 
 
+def active_user_sketches(events: DataFrame, root: str, user: str, ts: str) -> DataFrame:
+    """window_start, rows and the sketch of the users of each day, as of the last delivery; ``operators.sketches`` merges them to longer periods.
+
+    State is one sketch per day that the watermark has not passed, however many users there are.
+    """
+    days = (
+        _instants(events, ts)
+        .withWatermark(ts, "2 days")
+        .groupBy(F.window(ts, "1 day").alias("w"))
+        .agg(F.count("*").alias("rows"), sketch_of(F.col(user), events.schema[user].dataType).alias("sketch"))
+        .select(as_zone_free(F.col("w.start")).alias("window_start"), "rows", "sketch")
+    )
+    run_to_end(days, root, "update", updates(root, ["window_start"]))
+    return latest_rows(events.sparkSession, root, ["window_start"])
+
+
 def error_rate_windows(events: DataFrame, root: str, ts: str, width: str, failed: Column, limit: float) -> DataFrame:
     """Windows whose share of failures is above ``limit`` once all their rows have arrived."""
     counts = (
