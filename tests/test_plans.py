@@ -69,6 +69,18 @@ def test_rows_of_a_slice_move_once(spark):
     assert sum("event_id" in columns and "event_type" in columns for columns in moved) <= 1
 
 
+@pytest.mark.parametrize(("key", "scans"), [("security_scan", 2), ("severity_summary", 2), ("custom_scan_rule", 2), ("deployment_kpis", 2), ("line_diff", 2), ("order_products_list", 3)])
+def test_inputs_are_read_once(spark, key, scans):
+    """The scan's corpus is a union of two reads; the orders of a list are found beforehand."""
+    text = plan(contract.queries()[key](spark, SF))
+    assert len(re.findall(r"^.*\(\d+\) Scan parquet", text, re.MULTILINE)) == scans
+
+
+def test_keys_of_the_newest_orders_reach_the_scan(spark):
+    text = plan(contract.queries()["order_products_list"](spark, SF))
+    assert re.search(r"PushedFilters: \[In\(l_orderkey", text)
+
+
 def test_columns_are_named(spark):
     for key in ("customer_order_summary", "ltv_cohorts"):
         assert all(re.fullmatch(r"[a-z_0-9]+", c) for c in contract.queries()[key](spark, SF).columns)

@@ -83,7 +83,7 @@ def product_sales(parts: DataFrame, items: DataFrame) -> DataFrame:
 def order_products_list(orders, customers, items, parts, newest: int = 10) -> DataFrame:
     """The newest orders that have items, each with the sorted names of its products.
 
-    The limit runs before the item detail is read, so the broadcast side has ``newest`` rows.
+    These orders are found once; their keys, ``newest`` numbers, are literals of the plan and reach the scan of the items.
     """
     with_items = orders.join(items.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
     newest_orders = (
@@ -91,9 +91,11 @@ def order_products_list(orders, customers, items, parts, newest: int = 10) -> Da
         .orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
         .limit(newest)
     )
+    found = newest_orders.collect()
+    newest_orders = orders.sparkSession.createDataFrame(found, newest_orders.schema)
     per_part = (
-        items.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
-        .join(F.broadcast(newest_orders.select("o_orderkey")), "o_orderkey")
+        items.where(F.col("l_orderkey").isin([r["o_orderkey"] for r in found]))
+        .select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
         .groupBy("o_orderkey", "p_partkey")
         .agg(F.count("*").alias("n"))
     )

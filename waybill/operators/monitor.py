@@ -214,24 +214,27 @@ def error_summary(errors: DataFrame, last: int = 10) -> DataFrame:
 
 
 def deployment_kpis(deployments: DataFrame, log: DataFrame, as_of: Column, hours: int = 6) -> DataFrame:
-    """Four dashboard panels as rows (panel, first label, second label, value)."""
-    none = F.lit("")
+    """Four dashboard panels as rows (panel, first label, second label, value); deployments are read and counted once for three of them."""
+    none, db, code = F.lit(""), F.col("database_name"), F.col("error_code")
+    counted = deployments.groupBy(db, code).agg(
+        F.count("*").alias("n"), F.count_if(F.col("state") == "completed").alias("done"), F.count_if(F.col("state") == "failed").alias("failed"),
+        F.sum("minutes").alias("minutes"), F.count("minutes").alias("timed"),
+    )
 
-    def panel(df: DataFrame, name: str, first: Column, second: Column = none) -> DataFrame:
-        return df.select(F.lit(name).alias("panel"), first.alias("label"), second.alias("detail"), F.col("value"))
+    def row(name: str, label: Column, detail: Column, part: Column, of: Column) -> Column:
+        return F.struct(F.lit(name).alias("panel"), label.alias("label"), detail.alias("detail"), part.cast("long").alias("part"), of.cast("long").alias("of"))
 
-    done = F.count_if(F.col("state") == "completed")
+    rows = [
+        row("success_rate", none, none, F.col("done"), F.col("n")),
+        row("mean_minutes", db, none, F.col("minutes"), F.col("timed")),
+        row("failures", db, code, F.col("failed"), F.lit(None)),
+    ]
+    sums = counted.select(F.explode(F.array(*rows)).alias("r")).select("r.*").groupBy("panel", "label", "detail").agg(F.sum("part").alias("part"), F.sum("of").alias("of"))
+    value = F.when(F.col("panel") == "failures", F.col("part").cast("double")).otherwise(F.col("part").cast("double") / F.col("of"))
+    panels = sums.where("panel <> 'failures' OR part > 0").select("panel", "label", "detail", value.alias("value"))
     recent = log.where(F.col("start_time") >= as_of - F.expr(f"INTERVAL '{hours}' HOUR"))
-    failed = deployments.where("state = 'failed'")
-    return reduce(
-        DataFrame.unionByName,
-        [
-            panel(deployments.agg(ratio(done, F.count("*")).alias("value")), "success_rate", none),
-            panel(deployments.groupBy("database_name").agg(mean(F.col("minutes")).alias("value")), "mean_minutes", F.col("database_name")),
-            panel(failed.groupBy("database_name", "error_code").agg(F.count("*").cast("double").alias("value")), "failures", F.col("database_name"), F.col("error_code")),
-            panel(recent.groupBy("warehouse").agg(credits().alias("value")), "credits", F.col("warehouse")),
-        ],
-    )
+    credited = recent.groupBy("warehouse").agg(credits().alias("value"))
+    return panels.unionByName(credited.select(F.lit("credits").alias("panel"), F.col("warehouse").alias("label"), none.alias("detail"), "value"))
 
 
 def health_rollup(checks: DataFrame, by: Sequence[Column]) -> DataFrame:

@@ -35,6 +35,7 @@ RULES = [
     ScanRule("PERM001", "MEDIUM", r"(?i)os\.(chmod|mkdir|mkdirall|writefile|create).*0[67]77|perm:\s*0[67]77", (".go",)),
     ScanRule("ERROR001", "LOW", r"_\s*:=\s*\w+\(", (".go",)),
 ]
+# fixed values: paths that are left out
 EXCLUDED = (".git", "node_modules", "vendor", "*.test", "*_test.go")
 
 
@@ -56,22 +57,23 @@ def _hit(rule: ScanRule, text: Column, line: Column, evidence: Column) -> Column
 def security_scan(files: DataFrame, path: str, text: str, rules: Sequence[ScanRule] = RULES, excluded: Sequence[str] = EXCLUDED) -> DataFrame:
     """Findings (path, rule, severity, line, evidence); line 0 stands for the file as a whole.
 
-    Only files that a line rule applies to are split into lines.
+    The files are read once: each becomes its lines, after a line 0 with the whole text for rules on files. Only files that a line rule applies to are
+    split.
     """
     name = F.regexp_extract(F.col(path), r"([^/]*)$", 1)
     skip = reduce(lambda a, b: a | b, [name.rlike(glob_regex(g)) | F.col(path).contains(g) for g in excluded], F.lit(False))
     kept = files.where(~skip).withColumn("__ext", _extension(F.col(path)))
-    out = []
     by_line = [r for r in rules if not r.whole_file]
     by_file = [r for r in rules if r.whole_file]
-    if by_line:
-        types = {t for r in by_line for t in r.file_types}
-        readable = kept if any(not r.file_types for r in by_line) else kept.where(F.col("__ext").isin(*sorted(types)))
-        lines = readable.select(path, "__ext", F.posexplode(F.split(text, "\n", -1)).alias("pos", "__line"))
-        number, evidence = (F.col("pos") + 1).cast("long"), F.regexp_replace(F.col("__line"), r"^\s+|\s+$", "")
-        out.append(lines.select(path, F.array_compact(F.array(*[_hit(r, F.col("__line"), number, evidence) for r in by_line])).alias("h")))
-    if by_file:
-        hits = [_hit(r, F.col(text), F.lit(0).cast("long"), F.lit("")) for r in by_file]
-        out.append(kept.select(path, F.array_compact(F.array(*hits)).alias("h")))
-    found = reduce(DataFrame.unionByName, out)
-    return found.select(path, F.explode("h").alias("h")).select(path, "h.*")
+    line, none = F.col("__line"), F.array().cast("array<string>")
+    split = F.split(text, "\n", -1) if by_line else none
+    if by_line and all(r.file_types for r in by_line):
+        split = F.when(F.col("__ext").isin(*sorted({t for r in by_line for t in r.file_types})), split).otherwise(none)
+    whole = F.array(F.col(text) if by_file else F.lit(None).cast("string"))
+    lines = kept.select(path, "__ext", F.posexplode(F.concat(whole, split)).alias("pos", "__line"))
+    evidence = F.regexp_replace(line, r"^\s+|\s+$", "")
+    in_line = F.array(*[_hit(r, line, F.col("pos").cast("long"), evidence) for r in by_line])
+    in_file = F.array(*[_hit(r, line, F.lit(0).cast("long"), F.lit("")) for r in by_file])
+    hits = in_line if not by_file else in_file if not by_line else F.when(F.col("pos") == 0, in_file).otherwise(in_line)
+    found = lines.select(path, F.explode(F.array_compact(hits)).alias("h"))
+    return found.select(path, "h.*")
