@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +17,6 @@ SETTINGS = {
 }
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def local_session(cores: str = "8", partitions: int = 8, **extra: str) -> SparkSession:
     """A session for tests and the local benchmark; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("waybill")
@@ -40,17 +36,15 @@ def local_session(cores: str = "8", partitions: int = 8, **extra: str) -> SparkS
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where the setting is missing a temporary folder serves a local session only.
+    Where the setting is missing, as in tests, a folder of the warehouse serves a local session only.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="waybill-")
-    return _LOCAL_ROOTS[context.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/waybill-{context.applicationId}"
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
