@@ -29,3 +29,19 @@ def test_profile_in_one_scan(spark):
     plan = sketches.profile_estimates(table)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Expand" not in plan  # a row of sketches per task is all that moves
     assert [r["rows"] for r in sketches.profile_estimates(table.limit(0)).collect()] == [0] * 5
+
+
+def test_quantiles_of_merged_sketches(spark):
+    """A hot key over many input splits, values in no order; two levels; days to the whole."""
+    table = spark.range(0, 90_000, 1, 150).selectExpr("IF(id % 3 = 0, id % 11, 99) AS k", "id % 7 AS day", "IF(id % 13 = 0, NULL, CAST(id * 7919 % 90000 AS DOUBLE)) AS v")
+    days = sketches.quantile_sketches(table, ["k", "day"], "v")
+    got = {r["k"]: r for r in sketches.quantiles(sketches.merged_quantiles(days.drop("day"), ["k"]), {"low": 0.01, "mid": 0.5, "top": 0.99}).collect()}
+    for r in table.where("v IS NOT NULL").groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("vs")).collect():
+        vs, found = r["vs"], got.pop(r["k"])
+        assert found["rows"] == len(vs)
+        for name, share in (("low", 0.01), ("mid", 0.5), ("top", 0.99)):
+            at = sum(v <= found[name] for v in vs) / len(vs)
+            assert abs(at - share) < 0.02, (r["k"], name)
+    assert not got
+    none = sketches.quantile_sketches(table.where("v < 0"), ["k"], "v")
+    assert sketches.quantiles(none, {"p": 0.5}).count() == 0

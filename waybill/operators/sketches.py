@@ -1,4 +1,4 @@
-"""Distinct counts that are kept and merged: HyperLogLog sketches, one row of a few kilobytes per group.
+"""Distinct counts and quantiles that are kept and merged: HyperLogLog and KLL sketches, one row of a few kilobytes per group.
 
 A sketch of a day and one of the next give the sketch of both, so counts of longer periods, of more batches, or of all partitions of a table come
 from sketches, never from the values again. The relative standard error is about 1.04 / sqrt(2 ^ ``lg``): 0.8 % at 14.
@@ -6,7 +6,7 @@ from sketches, never from the values again. The relative standard error is about
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,3 +44,30 @@ def profile_estimates(table: DataFrame, lg: int = LG) -> DataFrame:
         for f in table.schema.fields
     ]
     return table.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
+#: Size of a quantile sketch; its ranks are off by about 0.7 % of the rows (99 % of the time), whatever their number and order.
+K = 400
+SPREAD = 64
+
+
+def quantile_sketches(df: DataFrame, keys: Sequence[str], column: str, k: int = K, spread: int = SPREAD) -> DataFrame:
+    """``keys``, rows and the KLL sketch of a numeric column; null values do not count.
+
+    The sketches of the input splits are merged in two levels, ``spread`` groups of splits and then those, so that no task takes a sketch
+    from every split of a hot key. Keep sketches by hour or day and merge them for longer periods (``merged_quantiles``).
+    """
+    given = df.where(F.col(column).isNotNull()).withColumn("__of", F.pmod(F.spark_partition_id(), F.lit(spread)))
+    first = given.groupBy(*keys, "__of").agg(F.count(F.lit(1)).alias("rows"), F.kll_sketch_agg_double(F.col(column).cast("double"), F.lit(k)).alias("sketch"))
+    return merged_quantiles(first, keys)
+
+
+def merged_quantiles(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Quantile sketches (rows, sketch) of finer groups, or of several batches, added up by ``keys``."""
+    return sketches.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def quantiles(sketches: DataFrame, points: Mapping[str, float]) -> DataFrame:
+    """The sketch replaced by the values at some shares of the rows, as ``{name: share}``."""
+    found = {name: F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))) for name, p in points.items()}
+    return sketches.withColumns(found).drop("sketch")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waybill.operators import monitor
+from waybill.operators import monitor, sketches
 from waybill.plans.registry import query
 from waybill.plans.tables import AS_OF_EVENTS, events_ts
 
@@ -92,6 +92,25 @@ def _(t):
     return monitor.latency_percentiles(t.events, "event_type", "value", F.col("value") <= 200)
 
 
+POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query("latency_percentiles_estimates", " UNION ALL ".join(
+    f"SELECT event_type, '{name}' AS point, count(*) AS n, true AS within_error FROM events WHERE value IS NOT NULL GROUP BY 1" for name in POINTS
+))
+def _(t):
+    """Sketches by day, merged to the whole; the share of rows up to an estimate is 2 % away from the point asked for at most."""
+    days = sketches.quantile_sketches(t.events.withColumn("day", F.col("ts").cast("date")), ["event_type", "day"], "value")
+    found = sketches.quantiles(sketches.merged_quantiles(days.drop("day"), ["event_type"]), POINTS)
+    at = F.explode(F.array(*[F.struct(F.lit(n).alias("point"), F.lit(p).alias("share"), F.col(n).alias("value_at")) for n, p in POINTS.items()])).alias("q")
+    asked = found.select("event_type", F.col("rows").alias("n"), at).select("event_type", "n", "q.*")
+    ranks = t.events.join(F.broadcast(asked), "event_type").groupBy("event_type", "point", "n", "share").agg(  # a few rows per type of event
+        F.count_if(F.col("value") < F.col("value_at")).alias("below"), F.count_if(F.col("value") <= F.col("value_at")).alias("upto")
+    )
+    close = (F.col("below") / F.col("n") - 0.02 <= F.col("share")) & (F.col("share") <= F.col("upto") / F.col("n") + 0.02)
+    return ranks.select("event_type", "point", "n", close.alias("within_error"))
+
+
 @query("metric_rollup", """
     SELECT event_type, arg_max(value, (ts, event_id)) AS last_value, count(*) AS count, min(value) AS min_value, max(value) AS max_value,
            CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_value FROM events GROUP BY 1""")
