@@ -32,7 +32,7 @@ from waybill.session import fresh_dir
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Documents and cells of a treap, ranges that a search takes from its queue at once, bytes of item text that a pass over the documents serves.
-SHARD, CELLS, AT_ONCE, BLOCK = 4096, 2_000_000, 16, 8 << 20
+SHARD, CELLS, AT_ONCE, BLOCK = 4096, 2_000_000, 128, 8 << 20
 
 #: Quadrants before quadrant q in a mask.
 _BEFORE = np.array([[bin(mask & ((1 << q) - 1)).count("1") for q in range(4)] for mask in range(16)], dtype=np.int64)
@@ -106,16 +106,16 @@ class K2Treap:
             lower, mask, first = 2 * ((own >> shift) & 1), self.mask[nodes], self.first[nodes]
             for side in (0, 1):
                 quadrant = lower + side
-                there = (mask >> quadrant) & 1 == 1
-                child = first + _BEFORE[mask, quadrant]
-                worth = np.zeros(len(nodes), dtype=np.int64)
-                worth[there] = heavy[there] * self.most[child[there]]
-                bounds = np.add.reduceat(worth, ends[:-1])
-                for bound, a, b, r in zip(bounds.tolist(), ends, ends[1:], batch, strict=False):
-                    if bound >= max(1, least):
-                        arrived += 1
-                        kept = np.flatnonzero(there[a:b]) + a
-                        heapq.heappush(queue, (-bound, arrived, r[2] + 1, 2 * r[3] + side, child[kept], own[kept], heavy[kept]))
+                there = np.flatnonzero((mask >> quadrant) & 1)
+                child = first[there] + _BEFORE[mask[there], quadrant[there]]
+                weighted, rows_left = heavy[there], own[there]
+                cuts = np.searchsorted(there, ends)  # where the paths of each range begin among those that go on
+                upto = np.r_[0, np.cumsum(weighted * self.most[child])]
+                bounds = upto[cuts[1:]] - upto[cuts[:-1]]
+                for i in np.flatnonzero(bounds >= max(1, least)).tolist():
+                    arrived += 1
+                    a, b, r = cuts[i], cuts[i + 1], batch[i]
+                    heapq.heappush(queue, (-int(bounds[i]), arrived, r[2] + 1, 2 * r[3] + side, child[a:b], rows_left[a:b], weighted[a:b]))
 
 
 def _counted(vocabulary: dict[str, int]):
@@ -141,6 +141,7 @@ def _ranked(items: list[tuple[int, np.ndarray, np.ndarray]], docs: int, length:
         best: dict[int, list[tuple]] = {number: [] for number, *_ in items}
 
         def searched(gathered: list[tuple]) -> None:
+            gathered.sort(key=lambda g: g[1])  # documents of one length have impacts of one size: their ranges get close bounds
             ids = [g[0] for g in gathered]  # (no doc_id, doc_id)
             sizes = [len(g[2]) for g in gathered]
             rows = np.concatenate([np.asarray(g[2], dtype=np.int64) for g in gathered])
