@@ -76,7 +76,9 @@ def _units(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.min("doc_id"), F.lit(-1)).cast("double").alias("doc"),
     )
     units = units.withColumn("hash", F.xxhash64("same", "size", "part"))
-    return rows, stored(_ordinals(_ordinals(units, "lang"), "source"), "shard-units")
+    for column in ("lang", "source"):  # written in between: ranking reads the units several times
+        units = _ordinals(stored(units, "shard-units"), column)
+    return rows, stored(units, "shard-units")
 
 
 def _sort_key(low: F.Column, high: F.Column, value: F.Column) -> F.Column:
