@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waybill.operators import monitor, rows, writes
 from waybill.plans.registry import query
@@ -32,6 +33,27 @@ def _(t):
     return reduce(DataFrame.unionByName, loaded)
 
 
+NOTE = "chr(92) || '\"}, {[' || o_orderkey || chr(10)"
+
+
+@query("bulk_load_json_array", f"SELECT *, {NOTE} AS note, o_orderkey % 3 AS depth FROM orders")
+def _(t):
+    """Orders as files of one array each, 20,000 keys to a file, with texts and inner objects full of braces and quotes."""
+    path = fresh_dir(t.spark, "load-arrays")
+    key = F.col("o_orderkey").cast("long")
+    orders = t.orders.withColumn("note", F.expr(NOTE.replace("chr(92)", "char(92)").replace("chr(10)", "char(10)")))
+    inner = F.struct((F.col("o_orderkey") % 3).alias("depth"), F.array(F.struct(F.lit("}]").alias("x"))).alias("list"))
+    lines = orders.select(F.floor(key / 20000).alias("part"), key.alias("place"), F.to_json(F.struct(*orders.columns, inner.alias("inner"))).alias("value"))
+    begin = lines.groupBy("part").agg(F.min("place").alias("first"))
+    ends = begin.select("part", F.explode(F.array(F.lit(-1), F.lit(1 << 62))).alias("place")).select("part", "place", F.when(F.col("place") < 0, "[").otherwise("]").alias("value"))
+    comma = F.when(F.col("place") == F.col("first"), " ").otherwise(",")
+    rows = lines.join(begin, "part").select("part", "place", F.concat(comma, "value").alias("value")).unionByName(ends)
+    rows.repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
+    kinds = T.StructType([*t.orders.schema, T.StructField("note", T.StringType()), T.StructField("inner", T.StructType([T.StructField("depth", t.orders.schema["o_orderkey"].dataType)]))])
+    loaded = bulk.bulk_load(t.spark, path, "json", kinds, bulk.LoadOptions(strip_outer_array=True))
+    return loaded.select(*t.orders.columns, "note", F.col("inner.depth").alias("depth"))
+
+
 def _staged_csv(t, name: str) -> str:
     """Orders as CSV text in one folder per batch: a price in fifty is unreadable, and some lines more have a wrong number of columns."""
     path = fresh_dir(t.spark, name)

@@ -14,6 +14,7 @@ from waybill.functions.convert import convert
 from waybill.operators.ordered import row_number_by_key
 from waybill.operators.writes import written
 from waybill.session import checkpointed, fresh_dir
+from waybill.sources.jsonarray import load_arrays
 
 # fixed values: file formats a load accepts
 FORMATS = ("CSV", "JSON", "PARQUET", "AVRO", "ORC")
@@ -32,19 +33,20 @@ class LoadOptions:
 def bulk_load(spark: SparkSession, path: str, fmt: str, schema: T.StructType, options: LoadOptions = LoadOptions()) -> DataFrame:
     """Typed rows of the files under ``path``; compression follows the file names.
 
-    A JSON file that is one array has to be parsed as a whole by one task; files of one object per
-    line are split and are the form to use for large loads.
+    JSON files hold one object per line or, with ``strip_outer_array``, are one array of objects each; both are split between tasks.
     """
     kind = fmt.upper()
     if kind not in FORMATS:
         raise ValueError(f"unknown file format {fmt}; known: {', '.join(FORMATS)}")
+    if kind == "JSON" and options.strip_outer_array:
+        return load_arrays(spark, path, schema)
     reader = spark.read.schema(schema)
     if kind == "CSV":
         reader = reader.options(sep=options.field_delimiter, header=options.skip_header, quote=options.quote, escape=options.escape, mode="FAILFAST")
         if options.record_delimiter:
             reader = reader.option("lineSep", options.record_delimiter)
     elif kind == "JSON":
-        reader = reader.options(multiLine=options.strip_outer_array, mode="FAILFAST")
+        reader = reader.option("mode", "FAILFAST")
     try:
         return reader.format(kind.lower()).load(path)
     except AnalysisException as error:
