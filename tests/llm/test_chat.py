@@ -2,6 +2,11 @@
 
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
+from waybill.llm import chat
+from waybill.llm.base import stored
 from waybill.llm.chat import conversation_stream, digests, example_texts, examples, parse_segment, unescape
 
 STRANGE = "\\### Assistant: </turn> ok\\"
@@ -62,6 +67,47 @@ def test_examples(spark):
     assert got[2] == sizes[2] and got[1] == sizes[1] + len(segments[1][5][1])
 
 
+def test_a_conversation_over_many_ranges(spark, monkeypatch):
+    """A third of all rows in one conversation, and repeated and null turns: places and digests are as counted by hand."""
+    rows = [(9, k if k % 11 else None, ("user", "assistant")[k % 2], f"text {k} #" * (k % 5)) for k in range(1500)]
+    rows += [(100 + k % 300, k // 300, ("user", "assistant")[k // 300 % 2], f"t{k}") for k in range(2400)] + [(9, 7, "user", "same")] * 300
+    pieces = []
+    monkeypatch.setattr(chat, "stored", lambda df, purpose: pieces.append(stored(df, purpose)) or pieces[-1])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        stream = conversation_stream(turns(spark, rows))
+        hot = stream.where("conv_id = 9").sort("position").collect()
+        spread = pieces[0].where("conv_id = '9'").select("part").distinct().count()
+        got = {r["conv_id"]: r for r in digests(stream, examples(stream)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+    wanted = sorted((t is not None, t or 0, r, x) for c, t, r, x in rows if c == 9)
+    assert spread > 3 and [r["position"] for r in hot] == list(range(1800))
+    assert [parse_segment(r["segment"]) for r in hot] == [(r, x) for _, _, r, x in wanted]
+    starts = [0]
+    for r in hot:
+        assert r["start"] == starts[-1] and r["chars"] == len(r["segment"])
+        starts.append(r["start"] + r["chars"])
+    assert [r["example"] for r in hot if r["role"] == "assistant"] == list(range(750))
+    ends = [r["start"] + r["chars"] for r in hot if r["role"] == "assistant"]
+    replies = "".join(x for _, _, r, x in wanted if r == "assistant")
+    assert got[9]["formatted_chars"] == sum(ends) + starts[-1] - ends[-1] and got[9]["n_turns"] == 1800 and len(got) == 301
+    assert (got[9]["loss_chars"], got[9]["loss_sha256"]) == (len(replies), hashlib.sha256(replies.encode()).hexdigest())
+
+
+def test_digests_come_from_the_examples(spark):
+    """Fewer examples, less loss text; an example that ends elsewhere is an error."""
+    stream = conversation_stream(turns(spark, ROWS))
+    kept = examples(stream).where("example > 0")
+    got = {r["conv_id"]: r["loss_chars"] for r in digests(stream, kept).collect()}
+    assert (got[1], got[2], got[4]) == (len(STRANGE), 0, 2)  # of equal turns A comes before a
+    with pytest.raises(Exception, match="an example ends at"):
+        digests(stream, examples(stream).withColumn("example_end", F.col("example_end") - 1)).collect()
+
+
 def test_control_strings_are_escaped(spark):
     for r in conversation_stream(turns(spark, ROWS)).collect():
         assert r["segment"].count("</turn>") == 1 and r["segment"].count("###") == 1

@@ -16,11 +16,15 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybill.llm.base import stored
+
 #: The control strings.
 OPEN, BETWEEN, CLOSE = "### ", ": ", " </turn>\n"
+#: Characters of a text that help to choose its range.
+NEAR = 64
 
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
@@ -47,7 +51,7 @@ def parse_segment(segment: str) -> tuple[str, str]:
 
 
 def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Positions of turns in the stream of their conversation; rows come sorted, conversations may span batches."""
+    """Places of turns among those of their conversation in this partition; rows come sorted, conversations may span batches."""
     conv, position, start, example = object(), 0, 0, 0
     for batch in batches:
         rows = []
@@ -60,16 +64,33 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch.drop(columns=["assistant"]).reset_index(drop=True), where], axis=1)
 
 
+def _carried(pieces: DataFrame) -> DataFrame:
+    """What turns in earlier ranges add to the places in a later range of the same conversation.
+
+    Ranges follow each other in order, so only the first conversation of a range can have begun before it: a row per range at most.
+    """
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pieces.groupBy("conv_id", "part").agg(
+        F.count(F.lit(1)).alias("position"), F.sum("chars").alias("start"), F.count("example").alias("example")
+    )
+    carried = sums.select("conv_id", "part", *[F.sum(c).over(before).alias(f"{c}_before") for c in ("position", "start", "example")])
+    return carried.where(F.col("position_before").isNotNull())
+
+
 def conversation_stream(turns: DataFrame) -> DataFrame:
     """The rendered turns: conv_id, position, role, segment, start, chars, example, loss_start and loss_end.
 
     ``start`` is the segment's place in its conversation's stream; ``example`` numbers the assistant turns from 0 and is null for
     others. The example's context is the stream up to ``start``, and its loss mask is the stream from loss_start to loss_end: the
-    reply's text alone. Rows of a conversation follow each other in turn order in one partition.
+    reply's text alone.
 
     turns: conv_id, turn, role, text; other columns play no part. Null texts and roles are empty, null turns come first, rows of one
     turn go by role and text, repeated rows are turns of their own, and rows without a conv_id are one conversation. An
-    empty table gives no rows. Memory does not grow with a conversation's length: rows stream through in order.
+    empty table gives no rows.
+
+    Turns are sorted in ranges over the whole table, so a conversation with a third of the rows lies in a third of the ranges. Places are counted
+    inside a range, and what earlier ranges add is at most a row per range. The first ``NEAR`` characters of a text help to choose the range, no
+    more: rows alike in conversation, turn, role and those characters stay together and stream through one task.
     """
     text, role = escaped(F.col("text")), escaped_role(F.col("role"))
     head = F.concat(F.lit(OPEN), role, F.lit(BETWEEN))
@@ -81,16 +102,20 @@ def conversation_stream(turns: DataFrame) -> DataFrame:
         F.concat(head, text, F.lit(CLOSE)).alias("segment"),
         F.length(head).alias("before"),
     )
+    turn = F.col("turn").asc_nulls_first()
     ordered = (
-        rendered.repartition("conv_id")
-        .sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+        rendered.repartitionByRange("conv_id", turn, "role", F.substring("text", 1, NEAR))
+        .sortWithinPartitions("conv_id", turn, "role", "text")
         .select(
             "conv_id", "role", "segment", F.length("segment").cast("long").alias("chars"), "before",
             (F.col("role") == "assistant").alias("assistant"),
         )
     )
     schema = "conv_id string, role string, segment string, chars long, before int, position long, start long, example long"
-    placed = ordered.mapInPandas(_placed, schema)
+    pieces = stored(ordered.mapInPandas(_placed, schema).withColumn("part", F.spark_partition_id()), "chat-pieces")
+    placed = pieces.join(F.broadcast(_carried(pieces)), ["conv_id", "part"], "left")
+    for c in ("position", "start", "example"):
+        placed = placed.withColumn(c, F.col(c) + F.coalesce(f"{c}_before", F.lit(0)))
     reply = F.col("example").isNotNull()
     return placed.select(
         F.when(F.col("conv_id") != "", F.col("conv_id")).cast("long").alias("conv_id"),
@@ -131,49 +156,67 @@ def example_texts(stream: DataFrame) -> DataFrame:
     )
 
 
-def digests(stream: DataFrame) -> DataFrame:
-    """Read conversations back from their stream: a row for each with digests of all turns and of all text under the loss masks.
+def digests(stream: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
+    """Read conversations back from their stream and their examples: a row for each conversation.
+
+    conv_id, n_turns, turns_sha256 (of role, line feed, text, line feed for each turn), loss_chars, loss_sha256 and formatted_chars.
+    ``expanded`` is what ``examples`` made of the stream. The text under an example's loss mask is cut out of the stream by the example's span,
+    and its characters, context included, are those read from the stream up to its end; formatted_chars is the sum over the
+    examples and of what follows the last one. An example that does not end with a turn, or a span that no turn holds, is an error.
 
-    conv_id, n_turns, turns_sha256 (of role, line feed, text, line feed for each turn), loss_chars, loss_sha256 and formatted_chars:
-    the characters of all examples, contexts included, and of the turns after the last reply. The digest of a
-    conversation takes its turns in order, so they stream through one task; memory does not grow with them.
+    A digest takes the turns of a conversation in order, so these stream through one task; memory does not grow with them.
     """
     schema = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    read = stream.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id"),
-        "segment",
-        "start",
-        F.coalesce(F.col("loss_start") - F.col("start"), F.lit(-1)).alias("begin"),
-        F.coalesce(F.col("loss_end") - F.col("start"), F.lit(-1)).alias("end"),
-    ).mapInPandas(_digested, schema)
-    return read.withColumn("conv_id", F.when(F.col("conv_id") != "", F.col("conv_id")).cast("long"))
+    conv, none = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id"), F.lit(None).cast("long")
+    told = stream.select(conv, F.col("start").alias("at"), "segment", none.alias("begin"), none.alias("end"), none.alias("upto"))
+    asked = (examples(stream) if expanded is None else expanded).select(
+        conv, F.col("context_end").alias("at"), F.lit(None).cast("string"), "loss_start", "loss_end", "example_end"
+    )
+    # a turn, then the example whose target it is
+    read = told.union(asked).repartition("conv_id").sortWithinPartitions("conv_id", "at", F.col("upto").asc_nulls_first())
+    digested = read.mapInPandas(_digested, schema)
+    return digested.withColumn("conv_id", F.when(F.col("conv_id") != "", F.col("conv_id")).cast("long"))
+
+
+class _Reader:
+    """A conversation as read so far."""
+
+    def __init__(self, key: str):
+        self.key, self.n_turns, self.turns = key, 0, sha256()
+        self.loss, self.loss_chars = sha256(), 0
+        self.seen, self.segment, self.formatted, self.last = 0, "", 0, 0
+
+    def turn(self, segment: str) -> None:
+        role, text = parse_segment(segment)
+        self.turns.update(f"{role}\n{text}\n".encode())
+        self.n_turns, self.seen, self.segment = self.n_turns + 1, self.seen + len(segment), segment
+
+    def example(self, begin: int, end: int, upto: int) -> None:
+        start = self.seen - len(self.segment)
+        if upto != self.seen or not start <= begin <= end <= upto:
+            raise ValueError(f"conversation {self.key}: an example ends at {upto}, the turn it answers with at {self.seen}")
+        reply = unescape(self.segment[begin - start : end - start])
+        self.loss.update(reply.encode())
+        self.loss_chars, self.formatted, self.last = self.loss_chars + len(reply), self.formatted + self.seen, self.seen
+
+    def closed(self) -> tuple:
+        rest = self.seen - self.last
+        return self.key, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted + rest
 
 
 def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    state = None
+    reader = None
     for batch in batches:
         rows = []
-        for key, segment, start, begin, end in zip(*(batch[c] for c in batch.columns), strict=True):
-            if state is None or state["key"] != key:
-                rows += [_closed(state)] if state else []
-                state = {"key": key, "n": 0, "turns": sha256(), "loss": sha256(), "chars": 0, "formatted": 0, "tail": 0}
-            role, text = parse_segment(segment)
-            state["n"] += 1
-            state["turns"].update(f"{role}\n{text}\n".encode())
-            if begin >= 0:
-                reply = unescape(segment[begin:end])
-                state["loss"].update(reply.encode())
-                state["chars"] += len(reply)
-                state["formatted"] += start + len(segment)
-                state["tail"] = 0
+        for key, segment, begin, end, upto in zip(*(batch[c] for c in ["conv_id", "segment", "begin", "end", "upto"]), strict=True):
+            if reader is None or reader.key != key:
+                rows += [reader.closed()] if reader else []
+                reader = _Reader(key)
+            if segment is not None:
+                reader.turn(segment)
             else:
-                state["tail"] += len(segment)
+                reader.example(int(begin), int(end), int(upto))
         yield pd.DataFrame(rows, columns=names)
-    if state:
-        yield pd.DataFrame([_closed(state)], columns=names)
-
-
-def _closed(state: dict) -> tuple:
-    turns, loss = state["turns"].hexdigest(), state["loss"].hexdigest()
-    return state["key"], state["n"], turns, state["chars"], loss, state["formatted"] + state["tail"]
+    if reader:
+        yield pd.DataFrame([reader.closed()], columns=names)

@@ -80,7 +80,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(STRANGE).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(strange)
-    return chat.digests(chat.conversation_stream(turns))
+    stream = chat.conversation_stream(turns)
+    return chat.digests(stream, chat.examples(stream))
 
 
 def _captures(pages: DataFrame) -> DataFrame:
