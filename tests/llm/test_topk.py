@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from waybill.llm import topk
 from waybill.llm.topk import top_k
 
 NAN, INF = float("nan"), float("inf")
@@ -66,5 +67,29 @@ def test_large_components_stay_exact(spark):
     assert found(top_k(vectors(spark, rows))) == slow(rows)
 
 
+def test_queries_go_only_where_a_bound_reaches(spark, monkeypatch):
+    """Clusters far apart: results as all pairs have them, and far fewer shipments than queries times other shards."""
+    rng, sent = random.Random(5), []
+    axes = [[(40.0 if c < 12 else -40.0) * (j == c % 12) for j in range(12)] for c in range(24)]
+    rows = rounded([(i, [x + rng.gauss(0, 0.2) for x in axes[i % 24]]) for i in range(2400)])
+    ships = topk.shipments
+
+    def counted(queries, balls, shards):
+        sent.append((queries.count() * (shards - 1), ships(queries, balls, shards)))
+        return sent[-1][1]
+
+    monkeypatch.setattr(topk, "shipments", counted)
+    assert found(top_k(vectors(spark, rows), shard=100)) == slow(rows)
+    pairs, shipped = sent[0][0], sent[0][1].count()
+    assert pairs > 48 * 20 and shipped < pairs / 4, (shipped, pairs)
+
+
+def test_lengths_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SAMPLE", 64)
+    rng = random.Random(6)
+    rows = rounded([(i, [rng.gauss(0, 1) for _ in range(4 if i % 40 else 1 + i // 40)]) for i in range(800)])
+    assert found(top_k(vectors(spark, rows), shard=40)) == slow(rows)
+
+
 def test_empty(spark):
     assert top_k(vectors(spark, [])).count() == 0
