@@ -79,3 +79,20 @@ def test_typed_rows(spark, tmp_path):
     (tmp_path / "g.json").write_text('[{"a": "no number"}]')
     with pytest.raises(Exception, match="MALFORMED|malformed"):
         bulk.bulk_load(spark, str(tmp_path), "json", schema, options).collect()
+
+
+def test_large_loads_keep_brackets_with_their_rows(spark, tmp_path):
+    """Without broadcasts, as on large tables, an array is still one file; rows of one key, the first included, stay apart."""
+    import __spark_entry__ as contract
+
+    keys = [0, 0, 1, 19_999, 20_000, 45_000, 45_000]
+    row = "id AS o_orderkey, id AS o_custkey, 'O' AS o_orderstatus, 1.5D AS o_totalprice, TIMESTAMP_NTZ '1999-01-01 00:00:00' AS o_orderdate, '1' AS o_orderpriority"
+    spark.createDataFrame([(k,) for k in keys], "id long").selectExpr(*row.split(", ")).write.parquet(str(tmp_path / "orders.parquet"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = contract.queries()["bulk_load_json_array"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r["o_orderkey"], r["depth"]) for r in got) == [(k, k % 3) for k in keys]
+    assert all(r["note"] == '\\"}, {[' + f"{r['o_orderkey']}\n" for r in got)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,11 +44,12 @@ def _(t):
     orders = t.orders.withColumn("note", F.expr(NOTE.replace("chr(92)", "char(92)").replace("chr(10)", "char(10)")))
     inner = F.struct((F.col("o_orderkey") % 3).alias("depth"), F.array(F.struct(F.lit("}]").alias("x"))).alias("list"))
     lines = orders.select(F.floor(key / 20000).alias("part"), key.alias("place"), F.to_json(F.struct(*orders.columns, inner.alias("inner"))).alias("value"))
-    begin = lines.groupBy("part").agg(F.min("place").alias("first"))
-    ends = begin.select("part", F.explode(F.array(F.lit(-1), F.lit(1 << 62))).alias("place")).select("part", "place", F.when(F.col("place") < 0, "[").otherwise("]").alias("value"))
-    comma = F.when(F.col("place") == F.col("first"), " ").otherwise(",")
-    rows = lines.join(begin, "part").select("part", "place", F.concat(comma, "value").alias("value")).unionByName(ends)
-    rows.repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
+    # brackets stand with the rows: as rows of a union they can get a task, and so a file, of their own
+    order = Window.partitionBy("part").orderBy("place", "value")
+    begin, end = (F.coalesce(step(F.lit(False)).over(order), F.lit(True)) for step in (F.lag, F.lead))
+    text = F.concat(F.when(begin, "[\n ").otherwise(","), "value", F.when(end, "\n]").otherwise(""))
+    rows = lines.select("part", "place", "value", text.alias("text"))
+    rows.sortWithinPartitions("part", "place", "value").select("part", F.col("text").alias("value")).write.partitionBy("part").text(path)
     kinds = T.StructType([*t.orders.schema, T.StructField("note", T.StringType()), T.StructField("inner", T.StructType([T.StructField("depth", t.orders.schema["o_orderkey"].dataType)]))])
     loaded = bulk.bulk_load(t.spark, path, "json", kinds, bulk.LoadOptions(strip_outer_array=True))
     return loaded.select(*t.orders.columns, "note", F.col("inner.depth").alias("depth"))
