@@ -75,6 +75,20 @@ def test_marked_pages():
     assert main_text(page, None) == "Head & line\nOne two three four\n5 < 6 é &am\nx\ny"
 
 
+def framed(kind, title, text):
+    """A page whose main part also holds lines of the site that no mark tells from its text."""
+    body = f"<h2>{title}</h2><p>{text}</p><p>Said by all.</p>"
+    return f"<body><div>Home | About {title}</div><main><div>Read in your language</div>{kind(body)}<div>More from us</div></main></body>"
+
+
+def test_differencing_reaches_marked_pages(spark):
+    """In a main part lines of the site go; the lines of a marked article come back where they recur, and what stands outside goes even if it does not."""
+    whole, article = (lambda body: body), (lambda body: f"<article>{body}</article>")
+    rows = [(k, f"http://h.example/{kind}/{k}", framed(article if kind == "a" else whole, f"T{k}", f"text {k}")) for kind, k in (("m", 1), ("m", 2), ("a", 3), ("a", 4))]
+    want = [(1, "T1\ntext 1"), (2, "T2\ntext 2"), (3, "T3\ntext 3\nSaid by all."), (4, "T4\ntext 4\nSaid by all.")]
+    assert texts(main_texts(pages(spark, rows))) == want
+
+
 def test_awkward_rows(spark):
     long = "<article>" + "".join(f"<p>line {k % 9}</p>" for k in range(20_000)) + "</article>"
     rows = [

@@ -2,8 +2,9 @@
 
 Pages of a host are paired with the page whose URL path is nearest: the neighbour in path order that shares more leading path
 parts. The text lines of the two are aligned by longest common subsequence, and lines that both have are the site's, not the page's:
-they go. Marks come first: what stands in elements that are never an article's text (navigation, forms, scripts, adverts and the
-like) goes in any case, and where a page marks its article, that is the text. Differencing alone decides all other lines.
+they go. That is done to every page. A check of the page's marks follows: of the lines left, those in elements that are never an article's
+text (navigation, forms, scripts, adverts and the like) go too, and where a page marks its main part, those outside it; lines of a marked
+article come back where they recur on the neighbour. In a main part that is no article, and on pages without marks, differencing decides.
 
 Only hashes of lines travel to the neighbour, never its text, and pages are shuffled once. Hosts are cut into ranges of the
 path order with their borders joined up afterwards, so a large host is no larger task.
@@ -56,8 +57,8 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _HIDDEN = re.compile(r"\shidden\b|display\s*:\s*none", re.IGNORECASE)
 _LETTERS = re.compile(r"[a-z]+")
 
-#: Where a line stands: in an element that is never text, nowhere in particular, or in the marked article.
-NO, OPEN, ARTICLE = 0, 1, 2
+#: Where a line stands: in an element that is never text, nowhere in particular, in the marked main part, or in the marked article.
+NO, OPEN, MAIN, ARTICLE = 0, 1, 2, 3
 
 
 def _marks(attributes: str) -> set[str]:
@@ -101,14 +102,14 @@ def _ends(tokens: list[tuple]) -> dict[int, int]:
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """The text lines of a page, a line for each block, and where they stand (NO, OPEN or ARTICLE)."""
+    """The text lines of a page, a line for each block, and where they stand (NO, OPEN, MAIN or ARTICLE)."""
     if not page:
         return []
     tokens = _tokens(page)
     ends = _ends(tokens)
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    skip = article = head = -1  # the places of the closing tags of what we are in
+    skip = article = main = head = -1  # the places of the closing tags of what we are in
     brief = False  # an element that is never text but is not closed: it goes up to the next block
 
     def flush(where: int) -> None:
@@ -120,7 +121,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
     def place(k: int) -> int:
         if k <= skip or brief or (k <= head and not heading):
             return NO
-        return ARTICLE if k <= article else OPEN
+        return ARTICLE if k <= article else MAIN if k <= main else OPEN
 
     heading = False
     for k, token in enumerate(tokens):
@@ -155,12 +156,14 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         elif name == "header" or (name not in ("html", "body", "main", "article") and marks & HEADS and not heading):
             # the header of a page goes; of an article's own header the headings stay
             if k in ends:
-                if k <= article:
+                if k <= max(article, main):
                     head = max(head, ends[k])
                 else:
                     skip = ends[k]
-        elif name in ("article", "main") or "articlebody" in marks or ("main" in marks and name != "body"):
+        elif name == "article" or "articlebody" in marks:
             article = max(article, ends.get(k, len(tokens)))
+        elif name == "main" or ("main" in marks and name != "body"):
+            main = max(main, ends.get(k, len(tokens)))
     flush(place(len(tokens)))
     return out
 
@@ -231,11 +234,11 @@ def line_hashes(lines: list[tuple[str, int]]) -> list[int]:
 def main_text(page: str | None, neighbour: list[int] | None) -> str:
     """The page's main text; neighbour: the hashes of the nearest page's lines, if there is one."""
     lines = lines_of(page)
-    if any(where == ARTICLE for _, where in lines):
-        return "\n".join(text for text, where in lines if where == ARTICLE)
     shared = set(common(line_hashes(lines), list(neighbour))) if neighbour is not None else set()
-    own = [text for k, (text, where) in enumerate(lines) if where == OPEN and k not in shared]
-    return "\n".join(own or (text for text, where in lines if where == OPEN))  # all shared: the same page twice
+    # the check by marks: what cannot be main text goes, and what is marked as the article stays whole
+    least = MAIN if any(where >= MAIN for _, where in lines) else OPEN
+    own = [text for k, (text, where) in enumerate(lines) if where == ARTICLE or (where >= least and k not in shared)]
+    return "\n".join(own or (text for text, where in lines if where >= least))  # all shared: the same page twice
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
