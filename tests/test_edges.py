@@ -247,3 +247,15 @@ def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_root(spark) == (named or shared_root(spark))
     assert fresh_dir(spark, "x") != fresh_dir(spark, "x")
+
+
+def test_merges_are_dealt_by_rows(spark, monkeypatch):
+    """However well the rows compress, a task merges a bounded number; keys repeat in the target and are null."""
+    monkeypatch.setattr(writes, "MERGE_ROWS", 100)
+    target = spark.range(0, 1000).selectExpr("IF(id % 10 = 9, NULL, id DIV 2) AS k", "'old' AS v")
+    source = spark.range(400, 1400).selectExpr("id AS k", "'new' AS v")
+    image = writes.upserted(target, source, "k")
+    want = sorted([(k, "new") for k in range(400, 1400)] + [(None if i % 10 == 9 else i // 2, "old") for i in range(1000) if i % 10 == 9 or i // 2 < 400], key=str)
+    assert sorted(map(tuple, image.collect()), key=str) == want
+    most = image.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert image.rdd.getNumPartitions() >= 10 and most < 500

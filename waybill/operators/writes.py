@@ -46,8 +46,18 @@ def one_per_key(source: DataFrame, key: str, latest_by: str | None = None) -> Da
     return source.groupBy(key).agg(picked.alias("__r")).select(key, "__r.*").select(*source.columns)
 
 
+#: Rows of a task that merges; Spark alone sizes its tasks by compressed bytes, and keys in order compress far below their size in memory.
+MERGE_ROWS = 250_000
+
+
 def upserted(target: DataFrame, source: DataFrame, key: str, latest_by: str | None = None) -> DataFrame:
-    """Image after updating matched keys and inserting new ones."""
+    """Image after updating matched keys and inserting new ones.
+
+    Both tables are counted first, and dealt by key into as many tasks as their rows ask for.
+    """
+    tasks = -(-max(source.count(), target.count()) // MERGE_ROWS)
+    if tasks > 1:
+        source, target = source.repartition(tasks, key), target.repartition(tasks, key)
     unique = one_per_key(source, key, latest_by)
     untouched = target.join(source.select(key).distinct(), key, "left_anti")
     return untouched.select(*target.columns).unionByName(unique)
