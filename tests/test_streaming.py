@@ -217,6 +217,20 @@ def test_chain_as_events_arrive(spark):
     assert rows(first.select(*names).unionByName(more.select(*names)), *names) == want
 
 
+def test_a_rotation_of_a_log_is_gathered_at_a_time(monkeypatch):
+    """The rows of a log come out by rotation, all of them, and never more than a rotation's or the held ones at once."""
+    import pandas as pd
+    from waybill.streaming import keyed
+
+    monkeypatch.setattr(keyed, "HELD_ROWS", 20)
+    made = [(None if k % 5 == 4 else f"d{k % 5}", k) for k in range(500)]
+    pieces, most, concat = (pd.DataFrame(made[k : k + 7], columns=["to", "k"]) for k in range(0, 500, 7)), [], pd.concat
+    monkeypatch.setattr(pd, "concat", lambda parts: most.append(len(whole := concat(list(parts)))) or whole)
+    got = [(None if pd.isna(rows["to"].iloc[0]) else rows["to"].iloc[0], rows["k"].tolist()) for rows in keyed.by_rotation(pieces, "to")]
+    assert got == [(to, [k for v, k in made if v == to]) for to in (None, "d0", "d1", "d2", "d3")]
+    assert max(most) == 100
+
+
 def test_sessions_are_merged_before_the_shuffle(spark, monkeypatch):
     """A hot user's events reach the state as sessions of each input split."""
     queries = []

@@ -1,14 +1,17 @@
 """Per-key state of streams: jobs whose next output depends on the one before, kept in Spark's state store (RocksDB).
 
-A micro-batch brings the rows of a key in no order; they are gathered and sorted for the key, so bound a batch (``max_files`` of
-``runner.file_stream``) where a key is hot.
+A micro-batch brings the rows of a key in no order; they are gathered and sorted for the key. A chain gathers the rows of one rotation of a
+log at a time; the others wait on the task's disk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import os
+import pickle
+from collections.abc import Iterable, Iterator, Sequence
 from hashlib import sha256
 from itertools import chain
+from tempfile import TemporaryDirectory
 
 import numpy as np
 import pandas as pd
@@ -107,6 +110,39 @@ def once_per(rows: DataFrame, root: str, key: str, ts: str, ident: str, seconds:
     return sink_rows(spark, root).drop("batch")
 
 
+#: Rows of a key that are held at once before they go to disk, and entries of a state that are written at once.
+HELD_ROWS, STATE_ROWS = 50_000, 10_000
+
+
+def by_rotation(batches: Iterable[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """The rows of each rotation, null first; memory holds those of one rotation, or ``HELD_ROWS``."""
+    held, count, places = [], 0, {}
+    with TemporaryDirectory() as folder:
+
+        def put() -> None:
+            for value, rows in pd.concat(held).groupby(column, dropna=False, sort=False):
+                place = places.setdefault(None if pd.isna(value) else value, len(places))
+                with open(os.path.join(folder, str(place)), "ab") as file:
+                    pickle.dump(rows, file)
+            held.clear()
+
+        def get(place: int) -> Iterator[pd.DataFrame]:
+            with open(os.path.join(folder, str(place)), "rb") as file:
+                while file.peek(1):
+                    yield pickle.load(file)
+
+        for batch in batches:
+            held.append(batch)
+            count += len(batch)
+            if count >= HELD_ROWS:
+                put()
+                count = 0
+        if held:
+            put()
+        for value in sorted(places, key=lambda v: (v is not None, v or "")):
+            yield pd.concat(get(places[value]))
+
+
 class Chain(StatefulProcessor):
     """Goes on with the hash chain of a log from its last link. State: that link, and the payload digests of the open rotation."""
 
@@ -135,31 +171,33 @@ class Chain(StatefulProcessor):
         return made.hexdigest()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        given = [batch for batch in rows if len(batch)]
-        if not given:  # a log that so far only has an initial state
-            return
-        events = pd.concat(given).sort_values(["rotation_text", *self.order], na_position="first", kind="stable")
-        rotation, seq, last = self.head.get() if self.head.exists() else (None, 0, None)
-        log, numbers, before, made, more = events["log_text"].iloc[0], [], [], [], []
-        late = events["rotation_text"].map(lambda to: bool(seq) and (to or "") < (rotation or ""))
-        for to, payload, is_late in zip(events["rotation_text"], events["payload"], late, strict=True):
-            if is_late:  # a closed rotation stays as it is: its digest is in the next one's anchor
-                numbers.append(None), before.append(None), made.append(None)
+        rotation, seq, last = closed, any_before, _ = self.head.get() if self.head.exists() else (None, 0, None)
+        more: list[tuple[int, str]] = []
+        for events in by_rotation((batch for batch in rows if len(batch)), "rotation_text"):
+            events = events.sort_values(self.order, na_position="first", kind="stable")
+            log, to = (None if pd.isna(v) else v for v in events[["log_text", "rotation_text"]].iloc[0])
+            out = events.drop(columns=["key", "log_text", "rotation_text"])
+            late = bool(any_before) and (to or "") < (closed or "")
+            if late:  # a closed rotation stays as it is: its digest is in the next one's anchor
+                nothing = [None] * len(events)
+                yield out.assign(seq=pd.array(nothing, dtype="Int64"), prev_hash=nothing, hash=nothing, late=True)
                 continue
             if not seq or to != rotation:
                 last, rotation = anchor_of(log, to, self._digest(more) if seq else None), to
                 seq, more = 0, []
                 self.parts.clear()
-            seq += 1
-            more.append((seq, part_of(payload)))
-            numbers.append(seq), before.append(last)
-            last = link_after(last, payload)
-            made.append(last)
-        self.head.update((rotation, seq, last))
-        if more:
-            self.parts.appendList(more)
-        out = events.drop(columns=["key", "log_text", "rotation_text"])
-        yield out.assign(seq=pd.array(numbers, dtype="Int64"), prev_hash=before, hash=made, late=late)
+            numbers, before, made = [], [], []
+            for payload in events["payload"]:
+                seq += 1
+                more.append((seq, part_of(payload)))
+                numbers.append(seq), before.append(last)
+                last = link_after(last, payload)
+                made.append(last)
+            yield out.assign(seq=pd.array(numbers, dtype="Int64"), prev_hash=before, hash=made, late=False)
+        if seq:
+            self.head.update((rotation, seq, last))
+        for k in range(0, len(more), STATE_ROWS):
+            self.parts.appendList(more[k : k + STATE_ROWS])
 
     def close(self) -> None:
         pass
