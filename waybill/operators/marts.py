@@ -91,10 +91,10 @@ def order_products_list(orders, customers, items, parts, newest: int = 10) -> Da
         .orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
         .limit(newest)
     )
-    found = newest_orders.collect()
+    found = newest_orders.toArrow()
     newest_orders = orders.sparkSession.createDataFrame(found, newest_orders.schema)
     per_part = (
-        items.where(F.col("l_orderkey").isin([r["o_orderkey"] for r in found]))
+        items.where(F.col("l_orderkey").isin(found.column("o_orderkey").to_pylist()))
         .select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
         .groupBy("o_orderkey", "p_partkey")
         .agg(F.count("*").alias("n"))
